@@ -90,8 +90,7 @@ def _packet_rates_relative(packets: DataFrame) -> DataFrame:
 
 
 def _packet_rates_dense(packets: DataFrame) -> DataFrame:
-    found = rates.packet_rates(_windowed(packets), WINDOW_SECONDS)
-    return _shown_windows(rates.densify(found, WINDOW_SECONDS))
+    return _shown_windows(rates.dense_rates(_windowed(packets), WINDOW_SECONDS))
 
 
 def _running_type_totals(packets: DataFrame) -> DataFrame:
@@ -106,13 +105,9 @@ def _running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _interval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_report_order(
-        _shown_windows(
-            interval_report(
-                events_as_datagrams(spark, sf_dir),
-                events_as_packets(spark, sf_dir),
-                WINDOW_SECONDS,
-            )
+    return _shown_windows(
+        interval_report(
+            events_as_datagrams(spark, sf_dir), events_as_packets(spark, sf_dir), WINDOW_SECONDS
         )
     )
 
@@ -206,7 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: build(events_as_datagrams(spark, sf_dir))
 
     builders = {
-        "packet_type_stats": on_packets(type_summary),
+        "packet_type_stats": on_packets(lambda p: in_report_order(type_summary(p))),
         "packet_counts": on_packets(lambda p: names.with_packet_name(stats.packet_counts(p))),
         "packet_sizes": on_packets(_packet_sizes),
         "last_frames": on_packets(stats.last_frames),

@@ -1,0 +1,198 @@
+"""Logs, splits, export and archive."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from wire import RAW_SCHEMA, datagram, log, random_capture, raw_rows, record
+
+from wiretally.operators.headers import decode_headers
+from wiretally.sources.anchors import approximate_anchors, with_recv_ts
+from wiretally.sources.archive import read_archive, write_archive
+from wiretally.sources.captures import (
+    capture_files,
+    listed_captures,
+    read_captures,
+    read_packets,
+)
+from wiretally.sources.export import write_captures
+from wiretally.sources.splits import MAX_RECORD_BYTES, chains, read_split_captures
+
+
+def records_of(df):
+    rows = df.orderBy("capture_id", "seq").collect()
+    return [
+        (r["capture_id"], r["seq"], r["recv_mono"], None if r["payload"] is None else bytes(r["payload"]), r["error"])
+        for r in rows
+    ]
+
+
+def expected(name, made, start=100.0, step=0.25):
+    return [(name, i, start + i * step, d, None) for i, d in enumerate(made)]
+
+
+@pytest.fixture
+def captures():
+    rng = random.Random(5)
+    return {c: [d for d in random_capture(rng, 300) if d] for c in (1, 2)}
+
+
+def test_a_flat_folder_of_logs(spark, tmp_path, captures):
+    for c, made in captures.items():
+        (tmp_path / f"run{c}.bin").write_bytes(log(made))
+    want = [r for c, made in captures.items() for r in expected(f"run{c}", made)]
+    assert records_of(read_captures(spark, str(tmp_path))) == want
+
+
+def test_segments_continue_the_numbering(spark, tmp_path, captures):
+    made = captures[1]
+    folder = tmp_path / "capture_id=7"
+    folder.mkdir()
+    whole = log(made)
+    cut = len(log(made[:100]))
+    (folder / "segment-0.bin").write_bytes(whole[:cut])
+    (folder / "segment-100.bin").write_bytes(whole[cut:])
+    assert records_of(read_captures(spark, str(tmp_path), "int")) == expected(7, made)
+
+
+@pytest.mark.parametrize("cut", [1, 11, 12, 13, 40])
+def test_a_cut_last_record(spark, tmp_path, cut):
+    made = [datagram(frame=i, size=30 + i) for i in range(5)]
+    data = log(made) + record(datagram(size=60), 1.0)[:cut]
+    (tmp_path / "a.bin").write_bytes(data)
+    at = len(log(made))
+    want = [*expected("a", made), ("a", 5, None, None, f"cut record at byte {at}")]
+    assert records_of(read_captures(spark, str(tmp_path))) == want
+    files = capture_files(spark, str(tmp_path))
+    assert records_of(read_split_captures(files, 50)) == want
+    assert read_packets(spark, str(tmp_path)).count() == 5
+
+
+def test_an_empty_log(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"")
+    assert read_captures(spark, str(tmp_path)).count() == 0
+    assert read_split_captures(capture_files(spark, str(tmp_path))).count() == 0
+    assert [r[0] for r in listed_captures(spark, str(tmp_path)).collect()] == ["a"]
+    (tmp_path / "x" / "capture_id=4").mkdir(parents=True)
+    (tmp_path / "x" / "capture_id=4" / "segment-0.bin").write_bytes(b"")
+    assert [r[0] for r in listed_captures(spark, str(tmp_path / "x"), "int").collect()] == [4]
+
+
+@pytest.mark.parametrize("damage", [0, 5000])
+def test_a_damaged_length_ends_the_file(spark, tmp_path, damage):
+    made = [datagram(frame=i, size=100) for i in range(40)]
+    data = bytearray(log(made))
+    at = 25 * 112
+    data[at : at + 4] = damage.to_bytes(4, "little")
+    (tmp_path / "a.bin").write_bytes(bytes(data))
+    want = [*expected("a", made[:25]), ("a", 25, None, None, f"bad length at byte {at}")]
+    assert records_of(read_captures(spark, str(tmp_path))) == want
+    for range_bytes in (300, 1000, 10**6):
+        split = read_split_captures(capture_files(spark, str(tmp_path)), range_bytes)
+        assert records_of(split) == want
+
+
+@pytest.mark.parametrize("range_bytes", [64, 1000, MAX_RECORD_BYTES + 1, 10**6])
+def test_splits_equal_whole_files(spark, tmp_path, captures, range_bytes):
+    for c, made in captures.items():
+        (tmp_path / f"run{c}.bin").write_bytes(log(made))
+    files = capture_files(spark, str(tmp_path))
+    want = records_of(read_captures(spark, str(tmp_path)))
+    assert records_of(read_split_captures(files, range_bytes)) == want
+
+
+def test_splits_survive_payloads_that_look_like_records(spark, tmp_path):
+    decoy = record(b"x" * 20, 1.0) * 40
+    made = [decoy[i:] for i in range(0, 30)] + [log([b"y" * 9] * 60)]
+    (tmp_path / "a.bin").write_bytes(log(made))
+    files = capture_files(spark, str(tmp_path))
+    for range_bytes in (100, 777, 5000):
+        assert records_of(read_split_captures(files, range_bytes)) == expected("a", made)
+
+
+def test_chains_follow_every_entry_to_the_same_exit():
+    data = log([b"a" * n for n in (30, 40, 50, 60, 70)])
+    span = 150
+    true_entries = [0, 42, 94]
+    found = {entry: (leave, n) for entry, leave, n in chains(data, span, 100)}
+    for i, entry in enumerate(true_entries):
+        assert found[entry] == (156, 3 - i)
+
+
+def test_export_is_byte_identical(spark, tmp_path, captures):
+    raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA).repartition(3)
+    for name, bits in (("small", 6), ("whole", 18)):
+        path = tmp_path / name
+        write_captures(raw, str(path), bits)
+        for c, made in captures.items():
+            segments = sorted((path / f"capture_id={c}").glob("segment-*.bin"))
+            assert len(segments) == (len(made) - 1 >> bits) + 1
+            assert b"".join(s.read_bytes() for s in segments) == log(made)
+        assert not list(path.rglob(".*"))
+        back = records_of(read_captures(spark, str(path), "int"))
+        assert back == [r for c, made in captures.items() for r in expected(c, made)]
+
+
+def test_export_twice_leaves_the_same_files(spark, tmp_path, captures):
+    raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA)
+    write_captures(raw, str(tmp_path), 6)
+    first = {p: p.read_bytes() for p in tmp_path.rglob("*.bin")}
+    write_captures(raw.repartition(5), str(tmp_path), 6)
+    assert {p: p.read_bytes() for p in tmp_path.rglob("*.bin")} == first
+
+
+def test_fused_read_equals_read_then_decode(spark, tmp_path, captures):
+    for c, made in captures.items():
+        (tmp_path / f"run{c}.bin").write_bytes(log(made))
+    fused = read_packets(spark, str(tmp_path))
+    apart = decode_headers(read_captures(spark, str(tmp_path))).select(*fused.columns)
+    assert fused.exceptAll(apart).count() == 0 and apart.exceptAll(fused).count() == 0
+    split = read_split_captures(
+        capture_files(spark, str(tmp_path)), 2000, headers_only=True
+    ).select(*fused.columns)
+    assert split.exceptAll(fused).count() == 0 and fused.exceptAll(split).count() == 0
+
+
+@pytest.mark.parametrize("cluster", [False, True])
+def test_archive_keeps_runts_and_drops_empties(spark, tmp_path, captures, cluster):
+    made = {1: [b"", *captures[1]], 2: [b"abc"]}
+    raw = spark.createDataFrame(raw_rows(made), RAW_SCHEMA)
+    write_archive(raw, str(tmp_path / "archive"), cluster=cluster, chunk_bits=6)
+    back = read_archive(spark, str(tmp_path / "archive"))
+    got = [
+        (r["capture_id"], r["seq"], bytes(r["payload"]), r["size"])
+        for r in back.orderBy("capture_id", "seq").collect()
+    ]
+    want = [(c, i, d, len(d)) for c, ds in made.items() for i, d in enumerate(ds) if d]
+    assert got == want
+
+
+def test_a_cut_tail_never_reaches_the_archive(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(log([datagram()]) + b"\x01")
+    write_archive(read_captures(spark, str(tmp_path)), str(tmp_path / "archive"))
+    assert read_archive(spark, str(tmp_path / "archive")).count() == 1
+
+
+def test_sizes_come_without_payloads(spark, tmp_path, captures):
+    from wiretally.operators.stats import capture_totals
+
+    raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA)
+    write_archive(raw, str(tmp_path / "archive"))
+    totals = capture_totals(read_archive(spark, str(tmp_path / "archive")))
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in plan and "size" in plan
+
+
+def test_anchors(spark, tmp_path):
+    made = [datagram(frame=i) for i in range(4)]
+    (tmp_path / "a.bin").write_bytes(log(made, start=5.0, step=1.0))
+    raw = read_captures(spark, str(tmp_path))
+    files = capture_files(spark, str(tmp_path))
+    anchors = approximate_anchors(raw, files)
+    last = with_recv_ts(raw, anchors).agg(F.max("recv_ts")).collect()[0][0]
+    assert last == files.collect()[0]["modified_at"]
+    assert anchors.collect()[0]["approximate"]
+    other = spark.createDataFrame([("b", 0)], "capture_id string, anchor_us bigint")
+    assert with_recv_ts(raw, other).where("recv_ts is null").count() == 4

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiretally.functions import is_valid
 from wiretally.layout import EVENT_PACKET_BYTES, HEADER_BYTES, HEADER_DTYPE, HEADER_FIELDS
 
 # Seconds between the epoch and the made-up clock origin of a capture.
@@ -52,12 +51,11 @@ def _anchor_us(user_id: str = "user_id") -> str:
 
 def events_as_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-empty datagram, runts included, with its header columns."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return map_events(events)
+    return _mapped(spark, sf_dir, 1)
 
 
-def map_events(events: DataFrame) -> DataFrame:
-    """The mapping over a batch or streaming ``events`` DataFrame."""
+def _mapped(spark: SparkSession, sf_dir: str, smallest: int) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return (
         events.selectExpr(
             "event_id",
@@ -68,7 +66,7 @@ def map_events(events: DataFrame) -> DataFrame:
             "unix_micros(cast(ts AS timestamp)) AS recv_us",
             f"{_anchor_us()} AS anchor_us",
         )
-        .where("size > 0")
+        .where(F.col("size") >= smallest)
         .selectExpr(*SELECT_LIST)
         .withColumn("recv_ts", F.timestamp_micros("recv_us"))
         .drop("recv_us")
@@ -77,7 +75,7 @@ def map_events(events: DataFrame) -> DataFrame:
 
 def events_as_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid packets only."""
-    return events_as_datagrams(spark, sf_dir).where(is_valid(F.col("size")))
+    return _mapped(spark, sf_dir, HEADER_BYTES)
 
 
 def capture_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

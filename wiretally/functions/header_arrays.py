@@ -28,9 +28,10 @@ HEADER_FIELD_TYPES = [T.StructField(n, t) for n, _, _, t in HEADER_LAYOUT] + [
 DECODED_COLUMNS = [*HEADER_FIELDS, "event_code"]
 
 
-def gather(buffer: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """``width`` bytes from each start, as one (n, width) array."""
-    return buffer[starts[:, None] + np.arange(width)]
+def gather(buffer: np.ndarray, starts: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """One value of type ``kind`` from each start, aligned or not."""
+    anywhere = np.ndarray(max(len(buffer) - kind.itemsize + 1, 0), kind, buffer, strides=(1,))
+    return anywhere[starts]
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +49,7 @@ def decode_heads(
 
     ``sizes`` are the true packet sizes and decide whether a code is present.
     """
-    header = gather(buffer, starts, HEADER_BYTES).view(HEADER_DTYPE).reshape(-1)
+    header = gather(buffer, starts, HEADER_DTYPE)
     columns = [
         pa.array(np.ascontiguousarray(header[name])).cast(_ARROW_TYPES[spark_type])
         for name, _, _, spark_type in HEADER_LAYOUT
@@ -56,7 +57,7 @@ def decode_heads(
     events = np.flatnonzero(
         (header["packet_id"] == EVENT_PACKET_ID) & (sizes >= EVENT_PACKET_BYTES)
     )
-    codes = gather(buffer, starts[events] + HEADER_BYTES, 4).view("<u4").reshape(-1)
+    codes = gather(buffer, starts[events] + HEADER_BYTES, np.dtype("<u4"))
     distinct, which = np.unique(codes, return_inverse=True)
     texts = [c.tobytes().decode("ascii", "replace") for c in distinct]
     slot = np.full(len(header), -1, np.int64)

@@ -38,10 +38,7 @@ def decode_headers(packets_raw: DataFrame) -> DataFrame:
     Runts go first, on the JVM side. Only the bytes that can matter, header
     and code, cross to the Python workers; the rest of the payload does not.
     """
-    sized = packets_raw.withColumn("size", packet_size(F.col("payload"))).where(
-        is_valid(F.col("size"))
-    )
-    heads = sized.withColumn("payload", F.substring("payload", 1, EVENT_PACKET_BYTES))
+    heads = datagrams(packets_raw).where(is_valid(F.col("size"))).withColumn("payload", F.substring("payload", 1, EVENT_PACKET_BYTES))
     kept = [f for f in heads.schema.fields if f.name != "payload"]
     names = [f.name for f in kept]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.layout import PACKET_NAMES, UNKNOWN_NAME
@@ -10,20 +10,25 @@ from wiretally.layout import PACKET_NAMES, UNKNOWN_NAME
 
 def packet_types(spark: SparkSession) -> DataFrame:
     """The catalog, one row per packet type."""
-    return spark.createDataFrame(
-        list(PACKET_NAMES.items()), "packet_id int, packet_name string"
-    )
+    rows = ", ".join(f"({i}, '{name}')" for i, name in PACKET_NAMES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(packet_id, packet_name)")
 
 
-def with_packet_name(df: DataFrame, default_to_id: bool = False) -> DataFrame:
-    """Add ``packet_name``; types outside the catalog get UNKNOWN or their id.
+def packet_name(packet_id: Column, default: Column) -> Column:
+    """Name of a packet type, or ``default`` outside the catalog.
 
-    The catalog has 14 fixed rows, so broadcasting it is always safe.
+    The catalog has 14 fixed entries, so it travels as a literal map: the
+    lookup is an expression and needs no join.
     """
-    default = F.col("packet_id").cast("string") if default_to_id else F.lit(UNKNOWN_NAME)
-    return df.join(F.broadcast(packet_types(df.sparkSession)), "packet_id", "left").withColumn(
-        "packet_name", F.coalesce("packet_name", default)
-    )
+    catalog = F.create_map(*[F.lit(x) for entry in PACKET_NAMES.items() for x in entry])
+    return F.coalesce(F.try_element_at(catalog, packet_id), default)
+
+
+def with_packet_name(df: DataFrame, default_to_id: bool = False) -> DataFrame:
+    """Add ``packet_name``; types outside the catalog get UNKNOWN or their id."""
+    packet_id = F.col("packet_id")
+    default = packet_id.cast("string") if default_to_id else F.lit(UNKNOWN_NAME)
+    return df.withColumn("packet_name", packet_name(packet_id, default))
 
 
 def types_seen(packets: DataFrame) -> DataFrame:

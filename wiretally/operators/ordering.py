@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
@@ -52,8 +52,17 @@ def with_previous(
     )
 
 
+def _block_of(index: str, block_bits: int) -> Column:
+    """Block of an index, stated as never NULL.
+
+    Joins on a nullable block would filter one of two equal subplans, and
+    Spark could not reuse the shuffle they share.
+    """
+    return F.coalesce(F.shiftright(index, block_bits), F.lit(0))
+
+
 def block_starts(
-    deltas: DataFrame, keys: Sequence[str], index: str, values: Sequence[str]
+    deltas: DataFrame, keys: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
     """Sums of ``values`` over all blocks before each block, per ``keys``."""
     before = (
@@ -77,13 +86,13 @@ def running_sums(
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add ``<v>_total``, the sum of ``v`` up to each row's ``index``."""
-    blocked = deltas.withColumn("_block", F.shiftright(index, block_bits))
+    blocked = deltas.withColumn("_block", _block_of(index, block_bits))
     upto = (
         Window.partitionBy(*keys, "_block")
         .orderBy(index)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    starts = block_starts(blocked, keys, index, values)
+    starts = block_starts(blocked, keys, values)
     return (
         blocked.select("*", *[F.sum(v).over(upto).alias(f"_upto_{v}") for v in values])
         .join(starts, [*keys, "_block"])
@@ -136,7 +145,7 @@ def dense_running_sums(
     )
     blocked = deltas.select(
         *keys,
-        F.shiftright(index, block_bits).alias("_block"),
+        _block_of(index, block_bits).alias("_block"),
         index,
         *[F.col(v).cast("bigint").alias(v) for v in values],
         F.lit(False).alias("_grid"),
@@ -147,7 +156,6 @@ def dense_running_sums(
     starts = block_starts(
         blocked.select(*block_keys, *values).unionByName(blocks.select(*block_keys, *zeros)),
         keys,
-        index,
         values,
     )
     return (

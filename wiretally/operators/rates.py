@@ -9,10 +9,10 @@ edges. The last window of a capture is kept and marked ``is_partial``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.functions import rate
+from wiretally.functions import is_valid, rate
 from wiretally.operators.ordering import BLOCK_BITS, dense_running_sums, running_sums
 
 TYPE_KEYS = ["capture_id", "packet_id"]
@@ -42,7 +42,8 @@ def with_relative_window(packets: DataFrame, seconds: float) -> DataFrame:
     )
 
 
-def window_start(seconds: float):
+def window_start(seconds: float) -> Column:
+    """Start of the window with this ``window_index``."""
     return F.timestamp_micros(F.col("window_index") * F.lit(_micros(seconds)))
 
 
@@ -59,22 +60,32 @@ def packet_rates(windowed: DataFrame, seconds: float) -> DataFrame:
     )
 
 
-def type_spans(rates: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """Per capture and type: ``lo``, its first window, and ``hi``, the capture's last."""
-    if ends is None:
-        ends = rates.groupBy("capture_id").agg(F.max("window_index").alias("hi"))
-    firsts = rates.groupBy(*TYPE_KEYS).agg(F.min("window_index").alias("lo"))
-    return firsts.join(ends, "capture_id")
+def type_spans(windowed: DataFrame) -> DataFrame:
+    """Per capture and type: ``lo``, its first window, and ``hi``, the capture's last.
 
+    The window runs over at most 256 rows per capture, one per type.
+    """
+    bounds = windowed.groupBy(*TYPE_KEYS).agg(
+        F.min("window_index").alias("lo"), F.max("window_index").alias("_last")
+    )
+    return bounds.select(
+        *TYPE_KEYS, "lo", F.max("_last").over(Window.partitionBy("capture_id")).alias("hi")
+    )
 
-def densify(rates: DataFrame, seconds: float, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Zero-fill: a row for every type seen so far in every window.
+
+def dense_rates(windowed: DataFrame, seconds: float, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``packet_rates`` zero-filled: a row for every type seen so far in every window.
 
     Also adds ``total``, the packets of the type since the capture began.
     """
     return (
         dense_running_sums(
-            type_spans(rates), rates, TYPE_KEYS, "window_index", ["n"], block_bits=block_bits
+            type_spans(windowed),
+            packet_rates(windowed, seconds),
+            TYPE_KEYS,
+            "window_index",
+            ["n"],
+            block_bits=block_bits,
         )
         .withColumnRenamed("n_total", "total")
         .withColumn("hz", rate(F.col("n"), F.lit(float(seconds))))
@@ -88,29 +99,30 @@ def running_type_totals(rates: DataFrame, block_bits: int = BLOCK_BITS) -> DataF
     ).withColumnRenamed("n_total", "total")
 
 
-def capture_deltas(datagrams: DataFrame, packets: DataFrame) -> DataFrame:
-    """What each window adds to a capture: bytes, valid packets and new sessions.
+def new_sessions(packets: DataFrame) -> DataFrame:
+    """The window each session of a capture first occurs in."""
+    return packets.groupBy("capture_id", "session_uid").agg(
+        F.min("window_index").alias("window_index")
+    )
+
+
+def running_capture_totals(
+    datagrams: DataFrame, packets: DataFrame, block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Bytes, packets and sessions since the capture began, per window with data.
 
     A session counts in its first window, so the running sum of the new ones
     is the number of distinct sessions so far.
     """
     zero = F.lit(0).cast("bigint")
-    n_bytes = datagrams.groupBy("capture_id", "window_index").agg(
-        F.sum(F.col("size").cast("bigint")).alias("bytes")
+    received = datagrams.groupBy("capture_id", "window_index").agg(
+        F.sum(F.col("size").cast("bigint")).alias("bytes"),
+        F.count_if(is_valid(F.col("size"))).alias("packets"),
     )
-    n_packets = packets.groupBy("capture_id", "window_index").agg(
-        F.count(F.lit(1)).alias("packets")
-    )
-    new_sessions = packets.groupBy("capture_id", "session_uid").agg(
-        F.min("window_index").alias("window_index")
-    )
-    return (
-        n_bytes.select("capture_id", "window_index", "bytes", zero.alias("packets"), zero.alias("sessions"))
-        .unionByName(
-            n_packets.select("capture_id", "window_index", zero.alias("bytes"), "packets", zero.alias("sessions"))
-        )
+    deltas = (
+        received.withColumn("sessions", zero)
         .unionByName(
-            new_sessions.select(
+            new_sessions(packets).select(
                 "capture_id",
                 "window_index",
                 zero.alias("bytes"),
@@ -121,16 +133,6 @@ def capture_deltas(datagrams: DataFrame, packets: DataFrame) -> DataFrame:
         .groupBy("capture_id", "window_index")
         .agg(*[F.sum(v).alias(v) for v in ("bytes", "packets", "sessions")])
     )
-
-
-def running_capture_totals(
-    datagrams: DataFrame, packets: DataFrame, block_bits: int = BLOCK_BITS
-) -> DataFrame:
-    """Bytes, packets and sessions since the capture began, per window with data."""
     return running_sums(
-        capture_deltas(datagrams, packets),
-        ["capture_id"],
-        "window_index",
-        ["bytes", "packets", "sessions"],
-        block_bits,
+        deltas, ["capture_id"], "window_index", ["bytes", "packets", "sessions"], block_bits
     )

@@ -121,9 +121,7 @@ def capture_totals(datagrams: DataFrame) -> DataFrame:
 
 def capture_uptime(packets: DataFrame) -> DataFrame:
     """Seconds from the first to the last valid packet, per capture."""
-    return packets.groupBy("capture_id").agg(
-        (F.max("recv_mono") - F.min("recv_mono")).alias("uptime")
-    )
+    return capture_facts(packets).select("capture_id", "uptime")
 
 
 def capture_sessions(packets: DataFrame) -> DataFrame:
@@ -133,16 +131,30 @@ def capture_sessions(packets: DataFrame) -> DataFrame:
     )
 
 
+FIRST_FACTS = ["packet_format", "game_year", "game_major", "game_minor", "player_car"]
+
+
 def first_packet(packets: DataFrame) -> DataFrame:
-    """Facts of the first valid packet of each capture.
+    """Facts of the first valid packet of each capture."""
+    return capture_facts(packets).select(
+        "capture_id", "seq", *FIRST_FACTS, "recv_mono", "format_ok"
+    )
+
+
+def capture_facts(packets: DataFrame) -> DataFrame:
+    """First-packet facts, packet count and uptime of each capture in one pass.
 
     ``seq`` is unique in a capture, so every ``min_by`` picks the same packet.
     One ``min_by`` per number keeps the aggregate hash-based; a struct would
     make Spark sort its whole input.
     """
-    facts = ["packet_format", "game_year", "game_major", "game_minor", "player_car", "recv_mono"]
     return (
         packets.groupBy("capture_id")
-        .agg(F.min("seq").alias("seq"), *[F.min_by(f, "seq").alias(f) for f in facts])
+        .agg(
+            F.count(F.lit(1)).alias("packets"),
+            (F.max("recv_mono") - F.min("recv_mono")).alias("uptime"),
+            F.min("seq").alias("seq"),
+            *[F.min_by(f, "seq").alias(f) for f in (*FIRST_FACTS, "recv_mono")],
+        )
         .withColumn("format_ok", is_expected_format(F.col("packet_format")))
     )

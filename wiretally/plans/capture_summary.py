@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.operators.names import missing_types
+from wiretally.layout import PACKET_NAMES, UNKNOWN_NAME
+from wiretally.operators.names import packet_name
 from wiretally.operators.ordering import CHUNK_BITS
 from wiretally.operators.sequence import event_runs, event_sequence
 from wiretally.operators.stats import (
+    capture_facts,
     capture_sessions,
     capture_totals,
-    capture_uptime,
-    first_packet,
+    packet_type_stats,
 )
-from wiretally.plans.type_summary import flashbacks
 
 INLINE_EVENT_RUNS = 1 << 20
 
 
-def _listed(df: DataFrame, text, name: str) -> DataFrame:
-    """Texts of a capture's types joined in id order; at most 256 per capture."""
-    return df.groupBy("capture_id").agg(
+def type_texts(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Missing types and flashbacks of each capture as text, in id order.
+
+    Both come from one pass over the types of a capture, at most 256.
+    """
+    seen = (
+        packet_type_stats(packets, chunk_bits)
+        .groupBy("capture_id")
+        .agg(F.sort_array(F.collect_list(F.struct("packet_id", "backwards"))).alias("_types"))
+    )
+    catalog = F.array(*[F.lit(i) for i in PACKET_NAMES])
+    absent = F.array_except(catalog, F.col("_types.packet_id"))
+    fell_back = F.filter("_types", lambda t: t["backwards"] > 0)
+    return seen.select(
+        "capture_id",
         F.array_join(
-            F.sort_array(F.collect_list(F.struct("packet_id", text.alias("text"))))["text"], ", "
-        ).alias(name)
+            F.transform(absent, lambda i: packet_name(i, F.lit(UNKNOWN_NAME))), ", "
+        ).alias("missing"),
+        F.array_join(
+            F.transform(
+                fell_back,
+                lambda t: F.concat_ws(
+                    " ",
+                    packet_name(t["packet_id"], t["packet_id"].cast("string")),
+                    t["backwards"].cast("string"),
+                ),
+            ),
+            ", ",
+        ).alias("flashbacks"),
     )
 
 
@@ -61,25 +84,14 @@ def capture_summary(
     no valid packet has status ``no_packets``: its datagrams and bytes are
     still counted, all else is NULL.
     """
-    valid = packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("packets"))
-    facts = first_packet(packets).drop("seq", "recv_mono")
-    missing = _listed(missing_types(packets), F.col("packet_name"), "missing")
-    fell_back = _listed(
-        flashbacks(packets, chunk_bits),
-        F.concat_ws(" ", "packet_name", "backwards"),
-        "flashbacks",
-    )
     events = event_texts(event_sequence(event_runs(packets, chunk_bits), chunk_bits), inline_runs)
 
     summary = manifest.select("capture_id")
     for part in (
         capture_totals(datagrams).drop("megabytes"),
-        valid,
+        capture_facts(packets).drop("seq", "recv_mono"),
         capture_sessions(packets),
-        capture_uptime(packets),
-        facts,
-        missing,
-        fell_back,
+        type_texts(packets, chunk_bits),
         events,
     ):
         summary = summary.join(part, "capture_id", "left")
@@ -107,6 +119,5 @@ def capture_summary(
 
 
 def in_report_order(report: DataFrame) -> DataFrame:
-    """Rows of a small report by capture and, where it has them, window and type."""
-    order = [c for c in ("capture_id", "window_index", "packet_id") if c in report.columns]
-    return report.orderBy(*order)
+    """Rows by capture and type; for the small reports, one row per capture or type."""
+    return report.orderBy(*[c for c in ("capture_id", "packet_id") if c in report.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions import is_datagram, is_valid, megabytes, rate, size_text
@@ -10,12 +10,16 @@ from wiretally.operators.names import with_packet_name
 from wiretally.operators.ordering import BLOCK_BITS, dense_running_sums
 from wiretally.operators.rates import (
     TYPE_KEYS,
-    capture_deltas,
+    new_sessions,
     packet_rates,
     window_start,
     with_window,
 )
 
+# Stands for the capture as a whole beside its types; ids on the wire are 0..255.
+WHOLE_CAPTURE = -1
+VALUES = ["n", "bytes", "sessions"]
+
 
 def interval_report(
     datagrams: DataFrame,
@@ -25,98 +29,104 @@ def interval_report(
 ) -> DataFrame:
     """Per capture, window and type seen so far: totals since start and rate.
 
-    ``datagrams`` has ``capture_id, recv_ts, size`` and includes runts, whose
-    bytes count; ``packets`` are the valid ones. Reports run from the window
-    of the first valid packet to that of the last datagram. ``uptime`` is the
-    time from the first valid packet to the end of the window.
+    ``datagrams`` has ``capture_id, seq, recv_ts, size`` and includes runts,
+    whose bytes count; ``packets`` are the valid ones. Reports run from the
+    window of the first valid packet to that of the last datagram. ``uptime``
+    is the time from the first valid packet to the end of the window.
+
+    Types and the capture as a whole go through one dense running sum, as rows
+    of the same keys. The capture's numbers then reach its types by a window
+    over the at most 257 rows of one capture and window.
     """
     d = with_window(datagrams.where(is_datagram(F.col("size"))), seconds)
     p = with_window(packets.where(is_valid(F.col("size"))), seconds)
-    starts = p.groupBy("capture_id").agg(
-        F.min("window_index").alias("lo"),
-        F.unix_micros(F.min_by("recv_ts", "seq")).alias("_started"),
+
+    width = F.lit(round(seconds * 1_000_000))
+    seen = F.filter("_steps", lambda s: s["first"] <= F.col("window_index"))
+    dense = dense_running_sums(
+        _spans(d, p),
+        _deltas(d, p, seconds),
+        TYPE_KEYS,
+        "window_index",
+        VALUES,
+        {
+            "sizes": size_text(F.transform(seen, lambda s: s["size"])),
+            "uptime": ((F.col("window_index") + 1) * width - F.col("_started")) / F.lit(1e6),
+            "is_partial": F.col("window_index") == F.col("hi"),
+        },
+        block_bits,
     )
-    ends = d.groupBy("capture_id").agg(F.max("window_index").alias("hi"))
+    window = Window.partitionBy("capture_id", "window_index")
+
+    def of_capture(value: str):
+        whole = F.when(F.col("packet_id") == WHOLE_CAPTURE, F.col(value))
+        return F.max(whole).over(window)
 
-    types = _type_rows(p, ends, seconds, block_bits)
-    captures = _capture_rows(d, p, starts.join(ends, "capture_id"), seconds, block_bits)
-    return with_packet_name(types.join(captures, ["capture_id", "window_index"])).select(
+    rows = dense.select(
         "capture_id",
         "window_index",
         window_start(seconds).alias("window_start"),
         "is_partial",
         "uptime",
-        "megabytes",
-        "sessions",
+        megabytes(of_capture("bytes_total")).alias("megabytes"),
+        of_capture("sessions_total").alias("sessions"),
         "packet_id",
-        "packet_name",
-        "total",
-        "hz",
+        F.col("n_total").alias("total"),
+        rate(F.col("n"), F.lit(float(seconds))).alias("hz"),
         "sizes",
     )
+    return with_packet_name(rows.where(F.col("packet_id") != WHOLE_CAPTURE))
 
 
-def _type_rows(p: DataFrame, ends: DataFrame, seconds: float, block_bits: int) -> DataFrame:
-    """Totals, rate and sizes so far per type, in every window from its first on.
+def _spans(d: DataFrame, p: DataFrame) -> DataFrame:
+    """First and last window of every type and of the capture as a whole.
 
     A type's sizes, each with its first window, fit one row: a datagram has at
     most 4096 sizes. That row also opens the windows, so no join is needed to
     know which sizes had been seen by each of them.
     """
-    spans = (
-        p.groupBy(*TYPE_KEYS, "size")
-        .agg(F.min("window_index").alias("first"))
-        .groupBy(*TYPE_KEYS)
-        .agg(
-            F.min("first").alias("lo"),
-            F.collect_list(F.struct("size", "first")).alias("_steps"),
+    first_by_size = p.groupBy(*TYPE_KEYS, "size").agg(F.min("window_index").alias("first"))
+    step = F.when(F.col("packet_id") != WHOLE_CAPTURE, F.struct("size", "first"))
+    firsts = (
+        first_by_size.withColumn(
+            "packet_id", F.explode(F.array("packet_id", F.lit(WHOLE_CAPTURE)))
         )
-        .join(ends, "capture_id")
+        .groupBy(*TYPE_KEYS)
+        .agg(F.min("first").alias("lo"), F.collect_list(step).alias("_steps"))
     )
-    seen = F.filter("_steps", lambda s: s["first"] <= F.col("window_index"))
-    return (
-        dense_running_sums(
-            spans,
-            packet_rates(p, seconds),
-            TYPE_KEYS,
-            "window_index",
-            ["n"],
-            {"sizes": size_text(F.transform(seen, lambda s: s["size"]))},
-            block_bits,
-        )
-        .withColumnRenamed("n_total", "total")
-        .withColumn("hz", rate(F.col("n"), F.lit(float(seconds))))
-        .drop("n")
+    valid_seq = F.when(is_valid(F.col("size")), F.col("seq"))
+    bounds = d.groupBy("capture_id").agg(
+        F.max("window_index").alias("hi"),
+        F.min_by(F.unix_micros("recv_ts"), valid_seq).alias("_started"),
     )
+    return firsts.join(bounds, "capture_id")
 
 
-def _capture_rows(
-    d: DataFrame, p: DataFrame, spans: DataFrame, seconds: float, block_bits: int
-) -> DataFrame:
-    """Uptime, megabytes and sessions per window of a capture."""
-    deltas = (
-        capture_deltas(d, p)
-        .join(spans.select("capture_id", "lo"), "capture_id")
-        .withColumn("window_index", F.greatest("window_index", "lo"))
-    )
-    width = round(seconds * 1_000_000)
-    return dense_running_sums(
-        spans,
-        deltas,
-        ["capture_id"],
-        "window_index",
-        ["bytes", "sessions"],
-        {
-            "uptime": ((F.col("window_index") + 1) * F.lit(width) - F.col("_started"))
-            / F.lit(1e6),
-            "is_partial": F.col("window_index") == F.col("hi"),
-        },
-        block_bits,
-    ).select(
-        "capture_id",
-        "window_index",
-        "is_partial",
-        "uptime",
-        megabytes(F.col("bytes_total")).alias("megabytes"),
-        F.col("sessions_total").alias("sessions"),
+def _deltas(d: DataFrame, p: DataFrame, seconds: float) -> DataFrame:
+    """What each window adds to a type and to the capture as a whole."""
+    whole = F.lit(WHOLE_CAPTURE).alias("packet_id")
+    received = d.groupBy("capture_id", "window_index").agg(
+        F.sum(F.col("size").cast("bigint")).alias("bytes")
     )
+    parts = [
+        (packet_rates(p, seconds).select(*TYPE_KEYS, "window_index", "n"), "n"),
+        (received.select("capture_id", whole, "window_index", "bytes"), "bytes"),
+        (
+            new_sessions(p).select(
+                "capture_id", whole, "window_index", F.lit(1).alias("sessions")
+            ),
+            "sessions",
+        ),
+    ]
+
+    def padded(part: DataFrame, value: str) -> DataFrame:
+        return part.select(
+            *TYPE_KEYS,
+            "window_index",
+            *[(F.col(v) if v == value else F.lit(0)).cast("bigint").alias(v) for v in VALUES],
+        )
+
+    first, *others = [padded(*part) for part in parts]
+    for other in others:
+        first = first.unionByName(other)
+    return first

@@ -25,12 +25,10 @@ def write_archive(
     """
     kept = datagrams(packets_raw)
     if cluster:
-        kept = (
-            kept.withColumn("_chunk", F.shiftright("seq", chunk_bits))
-            .repartition("capture_id", "_chunk")
-            .sortWithinPartitions("capture_id", "seq")
-            .drop("_chunk")
-        )
+        chunk = F.shiftright("seq", chunk_bits)
+        kept = kept.repartition("capture_id", chunk)
+    # The writer sorts by capture in any case; with seq, files keep arrival order.
+    kept = kept.sortWithinPartitions("capture_id", "seq")
     kept.write.mode(mode).partitionBy("capture_id").parquet(path)
 
 

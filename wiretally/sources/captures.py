@@ -26,6 +26,7 @@ from wiretally.sources.framing import frames, payload_array, record_batches
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 SEGMENT_NAME = r"segment-(\d+)\.bin$"
+FOLDER_ID = r"/capture_id=([^/]+)/"
 FILE_STEM = r"([^/]+?)(\.[^./]*)?$"
 
 RAW_COLUMNS = [
@@ -58,12 +59,28 @@ def open_files(reader, path: str, capture_id_type: str | None) -> DataFrame:
 def capture_files(
     spark: SparkSession, path: str, capture_id_type: str | None = None
 ) -> DataFrame:
-    """The listing of a log folder. Contents are not read."""
+    """The listing of a log folder. Contents are not read, empty logs are left out."""
     return open_files(spark.read, path, capture_id_type).select(
         "capture_id", "segment", "path", "length", F.col("modificationTime").alias("modified_at")
     )
 
 
+def listed_captures(
+    spark: SparkSession, path: str, capture_id_type: str | None = None
+) -> DataFrame:
+    """Every capture with a log under ``path``, empty logs included.
+
+    Scans skip empty files, so this starts from the file names Spark listed.
+    """
+    names = open_files(spark.read, path, capture_id_type).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    if capture_id_type:
+        capture_id = F.regexp_extract("path", FOLDER_ID, 1).cast(capture_id_type)
+    else:
+        capture_id = F.regexp_extract("path", FILE_STEM, 1)
+    return listed.select(capture_id.alias("capture_id")).distinct()
+
+
 def read_captures(
     spark: SparkSession, path: str, capture_id_type: str | None = None
 ) -> DataFrame:
@@ -115,7 +132,7 @@ def frame_files(files: DataFrame, headers_only: bool = False) -> DataFrame:
 
 
 def rows_of(
-    data,
+    data: memoryview,
     start: int,
     stop: int,
     capture_id: pa.Scalar,
@@ -146,7 +163,7 @@ def rows_of(
                 body = decode_heads(buffer, offsets + LOG_FRAME_BYTES, sizes)
             else:
                 names = ["payload", "error"]
-                body = [payload_array(buffer, offsets, sizes), pa.nulls(len(offsets), pa.string())]
+                body = [payload_array(data, offsets, sizes), pa.nulls(len(offsets), pa.string())]
             n = len(offsets)
             yield pa.RecordBatch.from_arrays(
                 [

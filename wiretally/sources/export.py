@@ -17,9 +17,9 @@ from wiretally.layout import LOG_FRAME_BYTES, LOG_FRAME_DTYPE
 from wiretally.operators.headers import datagrams
 from wiretally.sources.files import resolve
 
-# 2**18 records of at most 4108 bytes stay below 1.1 GB, so that every segment
-# can be read back as one file.
-SEGMENT_BITS = 18
+# 2**17 records of at most 4108 bytes stay below 540 MB, so that one task can
+# read a segment back as one file; at the usual kilobyte it is 128 MB.
+SEGMENT_BITS = 17
 
 
 @dataclass
@@ -88,9 +88,12 @@ def framed(batch: pa.RecordBatch) -> bytes:
     frame = np.empty(len(batch), LOG_FRAME_DTYPE)
     frame["length"] = sizes
     frame["recv_mono"] = batch.column("recv_mono").to_numpy()
-    payloads = data[starts[0] : starts[0] + int(sizes.sum())]
-    before = np.repeat(starts - starts[0], LOG_FRAME_BYTES)
-    return np.insert(payloads, before, frame.view(np.uint8)).tobytes()
+    frames, payloads = memoryview(frame.tobytes()), memoryview(data)
+    pieces: list[memoryview] = []
+    for i, (start, end) in enumerate(zip(starts.tolist(), (starts + sizes).tolist())):
+        pieces.append(frames[i * LOG_FRAME_BYTES : (i + 1) * LOG_FRAME_BYTES])
+        pieces.append(payloads[start:end])
+    return b"".join(pieces)
 
 
 def write_captures(packets_raw: DataFrame, path: str, segment_bits: int = SEGMENT_BITS) -> None:

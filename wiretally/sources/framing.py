@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from struct import unpack_from
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -15,36 +15,32 @@ BATCH_RECORDS = 1 << 16
 BATCH_BYTES = 32 << 20
 
 
-def next_record(data, at: int) -> tuple[int, str | None]:
-    """Where the record at ``at`` ends, or what is wrong with it.
-
-    A log never holds an empty datagram nor one above the receive limit, so
-    any other length means the bytes are not a record.
-    """
-    if at + LOG_FRAME_BYTES > len(data):
-        return at, "cut record"
-    length = unpack_from("<I", data, at)[0]
-    if not 0 < length <= MAX_DATAGRAM_BYTES:
-        return at, "bad length"
-    end = at + LOG_FRAME_BYTES + length
-    if end > len(data):
-        return at, "cut record"
-    return end, None
-
-
 def record_batches(
     data, start: int, stop: int
 ) -> Iterator[tuple[np.ndarray, int, str | None]]:
     """Offsets of the records that begin in ``[start, stop)``.
 
     Yields ``(offsets, end, problem)`` per batch. A problem comes last, with
-    the offset it was met at as ``end``.
+    the offset it was met at as ``end``. A log never holds an empty datagram
+    nor one above the receive limit, so any other length means the bytes are
+    not a record.
     """
+    length_at = Struct("<I").unpack_from
+    total = len(data)
+    last_frame = total - LOG_FRAME_BYTES
     at, first, offsets = start, start, []
     problem = None
     while at < stop:
-        end, problem = next_record(data, at)
-        if problem:
+        if at > last_frame:
+            problem = "cut record"
+            break
+        (length,) = length_at(data, at)
+        if not 0 < length <= MAX_DATAGRAM_BYTES:
+            problem = "bad length"
+            break
+        end = at + LOG_FRAME_BYTES + length
+        if end > total:
+            problem = "cut record"
             break
         offsets.append(at)
         at = end
@@ -57,17 +53,15 @@ def record_batches(
 
 def frames(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The frames at these offsets: payload length and receive time."""
-    return gather(buffer, offsets, LOG_FRAME_BYTES).view(LOG_FRAME_DTYPE).reshape(-1)
+    return gather(buffer, offsets, LOG_FRAME_DTYPE)
 
 
-def payload_array(buffer: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Payloads of neighbouring records, copied once without their frames."""
-    first, last = int(offsets[0]), int(offsets[-1]) + LOG_FRAME_BYTES + int(sizes[-1])
-    keep = np.ones(last - first, bool)
-    keep[(offsets - first)[:, None] + np.arange(LOG_FRAME_BYTES)] = False
+def payload_array(data: memoryview, offsets: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The payloads of records, copied once."""
+    starts = offsets + LOG_FRAME_BYTES
+    cuts = zip(starts.tolist(), (starts + sizes).tolist())
+    payloads = b"".join([data[a:b] for a, b in cuts])
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.BinaryArray.from_buffers(
-        pa.binary(),
-        len(offsets),
-        [None, pa.py_buffer(ends), pa.py_buffer(buffer[first:last][keep])],
+        pa.binary(), len(offsets), [None, pa.py_buffer(ends), pa.py_buffer(payloads)]
     )

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from wiretally.layout import LOG_FRAME_BYTES, MAX_DATAGRAM_BYTES
 from wiretally.sources.captures import raw_schema, rows_of
 from wiretally.sources.files import resolve
-from wiretally.sources.framing import next_record
+from wiretally.sources.framing import record_batches
 
 RANGE_BYTES = 128 << 20
 # Chains that will meet do so within a few records; past this offset they are
@@ -47,6 +47,14 @@ def read_range(path: str, start: int, stop: int) -> bytes:
         return file.read(stop - start)
 
 
+def follow(data: bytes, start: int, stop: int) -> tuple[int, int, str | None]:
+    """Number of records that begin in ``[start, stop)``, where they end, what is wrong."""
+    count, end, problem = 0, start, None
+    for offsets, end, problem in record_batches(data, start, stop):
+        count += len(offsets)
+    return count, end, problem
+
+
 def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None, int]]:
     """Where the records from each possible entry lead.
 
@@ -58,22 +66,23 @@ def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None,
     leads: list[tuple[int | None, int] | None] = []
     found = []
     for entry in range(entries):
-        at, steps, path, problem = entry, 0, [], None
-        while at < span and at not in visited:
+        at, steps, path, lead = entry, 0, [], None
+        while at < span:
+            if at in visited:
+                chain, depth = visited[at]
+                joined = leads[chain]
+                lead = joined and (joined[0], steps + joined[1] - depth)
+                break
             if at < MERGE_BYTES:
                 path.append(at)
-            end, problem = next_record(data, at)
+                ahead = at + 1
+            else:
+                ahead = span
+            offsets, at, problem = follow(data, at, ahead)
+            steps += offsets
             if problem:
+                lead = None if problem == "bad length" else (None, steps)
                 break
-            at, steps = end, steps + 1
-        if problem == "bad length":
-            lead = None
-        elif problem:
-            lead = (None, steps)
-        elif at < span:
-            chain, depth = visited[at]
-            joined = leads[chain]
-            lead = joined and (joined[0], steps + joined[1] - depth)
         else:
             lead = (at, steps)
         for depth, offset in enumerate(path):
@@ -111,7 +120,7 @@ def read_split_captures(
         ]
     )
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 start = row["start"]
@@ -161,7 +170,7 @@ def read_split_captures(
         return chosen[["capture_id", "segment", "path", "start", "entry", "seq"]]
 
     reads = (
-        ranges.mapInArrow(follow, leads_schema)
+        ranges.mapInArrow(find, leads_schema)
         .groupBy("path")
         .applyInPandas(link, reads_schema)
         .repartition(tasks, "path", "start")

@@ -24,3 +24,15 @@ def stream_captures(
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     return frame_files(open_files(reader, landing_dir, capture_id_type), headers_only)
+
+
+def stream_from_archive(
+    spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
+    """A stream of the datagrams in a Parquet archive, as its files appear."""
+    schema = spark.read.parquet(path).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(path)
+    )

@@ -8,7 +8,10 @@ links them in arrival order. A hot capture therefore never sends its packets
 to one task, just its edges.
 
 Rows must come in order within a segment, as ``stream_captures`` delivers
-them. A segment that lands after its successor was processed cannot be linked
+them; after a shuffle, or from files that lost that order, pass
+``in_order=False``. Then every packet is an edge: as exact, but a hot capture's
+packets of one micro-batch, which ``files_per_trigger`` bounds, meet in one
+task. A segment that lands after its successor was processed cannot be linked
 any more: its first packet is emitted with ``out_of_order`` set, and the batch
 operators remain the authority.
 """
@@ -83,6 +86,7 @@ def _link(
     extra: list[str],
     starts_count: bool,
     drops_only: bool,
+    in_order: bool,
     ttl_ms: int | None,
 ) -> DataFrame:
     """Rows whose value differs from (or falls below) the one before, per key."""
@@ -99,7 +103,7 @@ def _link(
                 continue
             run = [*keys, "segment"]
             batch = batch.sort_values([*run, "seq"], ignore_index=True)
-            same = (batch[run] == batch[run].shift(1)).all(axis=1)
+            same = (batch[run] == batch[run].shift(1)).all(axis=1) & in_order
             prev = batch["value"].shift(1, fill_value=0)
             differs = (batch["value"] < prev) if drops_only else (batch["value"] != prev)
             ends = ~same.shift(-1, fill_value=False)
@@ -129,7 +133,9 @@ def _link(
     )
 
 
-def stream_reversals(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_reversals(
+    packets: DataFrame, in_order: bool = True, ttl_ms: int | None = None
+) -> DataFrame:
     """The reversal packets of a stream, as ``operators.sequence.reversals``.
 
     ``ttl_ms`` drops the state of captures that went quiet for that long.
@@ -137,7 +143,8 @@ def stream_reversals(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame
     rows = packets.select(
         "capture_id", "packet_id", "segment", "seq", F.col("frame_id").alias("value")
     )
-    return _link(rows, ["capture_id", "packet_id"], [], False, True, ttl_ms).select(
+    linked = _link(rows, ["capture_id", "packet_id"], [], False, True, in_order, ttl_ms)
+    return linked.select(
         "capture_id",
         "packet_id",
         "seq",
@@ -147,9 +154,11 @@ def stream_reversals(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame
     )
 
 
-def stream_event_runs(packets: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_event_runs(
+    packets: DataFrame, in_order: bool = True, ttl_ms: int | None = None
+) -> DataFrame:
     """The run starts of a stream's event codes, as ``operators.sequence.event_runs``."""
     rows = event_packets(packets, "segment").withColumn("value", event_code_key(F.col("code")))
-    return _link(rows, ["capture_id"], ["code", "session_time"], True, False, ttl_ms).select(
-        "capture_id", "seq", "code", "session_time", "out_of_order"
-    )
+    extra = ["code", "session_time"]
+    linked = _link(rows, ["capture_id"], extra, True, False, in_order, ttl_ms)
+    return linked.select("capture_id", "seq", *extra, "out_of_order")
