@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,7 +132,19 @@ def test_disorder_is_an_error_when_order_was_promised(spark, landing, tmp_path):
 
 def test_quiet_captures_lose_their_state(spark, landing, batch, tmp_path):
     live = stream_captures(spark, landing, "int", headers_only=True)
-    found = run_appending(stream_reversals(live, ttl_ms=3_600_000), "t", str(tmp_path))
+    query = (
+        stream_reversals(live, ttl_ms=3_600_000)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "rows"))
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    deadline = time.time() + 60
+    while time.time() < deadline and not any(p["batchId"] for p in query.recentProgress):
+        time.sleep(0.5)
+    query.stop()
+    found = spark.read.parquet(str(tmp_path / "rows"))
     same(found.drop("out_of_order"), sequence.reversals(batch))
 
 

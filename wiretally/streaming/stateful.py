@@ -138,7 +138,9 @@ def stream_reversals(
 ) -> DataFrame:
     """The reversal packets of a stream, as ``operators.sequence.reversals``.
 
-    ``ttl_ms`` drops the state of captures that went quiet for that long.
+    ``ttl_ms`` drops the state of captures that went quiet for that long. Spark
+    keeps such a query busy with expiry, so it suits a processing-time trigger
+    and never ends under ``availableNow``.
     """
     rows = packets.select(
         "capture_id", "packet_id", "segment", "seq", F.col("frame_id").alias("value")
