@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiretally.session import shuffle_width
+
 CHUNK_BITS = 20
 BLOCK_BITS = 12
 
@@ -125,14 +127,13 @@ def dense_running_sums(
     the same sums.
     """
     carried = carried or {}
-    spark = spans.sparkSession
     block_keys = [*keys, "_block"]
     blocks = spans.withColumn(
         "_block",
         F.explode(
             F.sequence(F.shiftright("lo", block_bits), F.shiftright("hi", block_bits))
         ),
-    ).repartition(spark.sparkContext.defaultParallelism, *block_keys)
+    ).repartition(shuffle_width(spans.sparkSession), *block_keys)
     first = F.greatest("lo", F.shiftleft("_block", block_bits))
     last = F.least("hi", F.shiftleft(F.col("_block") + 1, block_bits) - 1)
     zeros = [F.lit(0).cast("bigint").alias(v) for v in values]

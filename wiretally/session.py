@@ -34,6 +34,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions for rows that are few now and many after they are opened.
+
+    Spark would merge such small partitions at run time; a number keeps them.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder in the cluster's shared checkpoint folder.
 

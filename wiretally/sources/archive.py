@@ -20,13 +20,17 @@ def write_archive(
     """Archive datagrams before any validation, runts included.
 
     Rows from capture logs already lie together by capture, so by default
-    nothing moves. ``cluster`` shuffles scattered rows by capture and chunk of
-    the arrival order first, which keeps files few and a hot capture spread.
+    nothing moves. ``cluster`` first rebalances scattered rows by capture and
+    chunk of the arrival order: files come out few and of even size, since
+    Spark merges small partitions and splits large ones.
     """
     kept = datagrams(packets_raw)
     if cluster:
-        chunk = F.shiftright("seq", chunk_bits)
-        kept = kept.repartition("capture_id", chunk)
+        kept = (
+            kept.withColumn("_chunk", F.shiftright("seq", chunk_bits))
+            .hint("rebalance", "capture_id", "_chunk")
+            .drop("_chunk")
+        )
     # The writer sorts by capture in any case; with seq, files keep arrival order.
     kept = kept.sortWithinPartitions("capture_id", "seq")
     kept.write.mode(mode).partitionBy("capture_id").parquet(path)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiretally.layout import LOG_FRAME_BYTES, MAX_DATAGRAM_BYTES
+from wiretally.session import shuffle_width
 from wiretally.sources.captures import raw_schema, rows_of
 from wiretally.sources.files import resolve
 from wiretally.sources.framing import record_batches
@@ -100,9 +101,8 @@ def read_split_captures(
 
     ``files`` is a listing as from :func:`~wiretally.sources.captures.capture_files`.
     """
-    spark = files.sparkSession
     capture_id = files.schema["capture_id"]
-    tasks = spark.sparkContext.defaultParallelism
+    tasks = shuffle_width(files.sparkSession)
     ranges = (
         files.where("length > 0")
         .withColumn(
