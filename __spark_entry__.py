@@ -191,6 +191,22 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_complete(stream_sessions(_live_packets(spark, sf_dir)), "stream-sessions")
 
 
+def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where they are not installed."""
+    try:
+        import corpus_pipeline
+        from wiretally.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "wiretally.llm"):
+            raise
+        return {}, {}
+    built, sql = llm.queries(), llm.oracle_sql()
+    built["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return built, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query, each a function of the session and a table folder."""
 
@@ -240,6 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def in_utc(build):
         return lambda spark, sf_dir: build(use_utc(spark), sf_dir)
 
+    builders |= _training_data()[0]
     return {name: in_utc(build) for name, build in builders.items()}
 
 
@@ -469,4 +486,4 @@ _ORACLES["stream_sessions"] = _ORACLES["capture_sessions"]
 
 def oracle_sql() -> dict[str, str]:
     """Standard SQL with the same result for every query."""
-    return {name: _WITH + sql for name, sql in _ORACLES.items()}
+    return {name: _WITH + sql for name, sql in _ORACLES.items()} | _training_data()[1]
