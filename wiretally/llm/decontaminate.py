@@ -37,7 +37,7 @@ _HOW = {"gaps": NOT_ALNUM, "fold": None}
 class Items(NamedTuple):
     """One block of the benchmark: all words, and every seed hash with its place."""
 
-    ids: np.ndarray
+    ids: pa.Array
     bounds: np.ndarray
     words: np.ndarray
     hashes: np.ndarray
@@ -58,7 +58,7 @@ def seed_hashes(word: np.ndarray, row: np.ndarray, seed_no: int) -> tuple[np.nda
     return inside, mix(total[inside])
 
 
-def index_items(ids: np.ndarray, texts: pa.Array) -> Items:
+def index_items(ids: pa.Array, texts: pa.Array) -> Items:
     """Seed hashes of benchmark items, sorted, with a bitmap that most hashes miss."""
     found = [w for _, _, _, w in sliced_words(texts, 1 << 62, **_HOW)]
     word = found[0].hash if found else np.zeros(0, np.uint64)
@@ -139,7 +139,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[It
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow()
         part = part.sort_by([("id", "ascending"), ("text", "ascending")])
-        yield index_items(part.column("id").to_numpy(), utf8(part.column("text")))
+        yield index_items(part.column("id").combine_chunks(), utf8(part.column("text")))
 
 
 def benchmark_overlaps(
@@ -177,7 +177,7 @@ def benchmark_overlaps(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array(row)),
-                        pa.array(own.ids[item]),
+                        own.ids.take(pa.array(item)),
                         *[pa.array(x.astype(np.int32)) for x in (first, end, matches)],
                         pa.array(matches / np.maximum(end - first, 1)),
                     ],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import decontaminate, near_dedup
+from wiretally.llm import chat, decontaminate, link_graph, mixing, near_dedup, pii, quality
 
 #: Rows of an Arrow batch: long texts make batches large before rows do.
 ARROW_ROWS = "1000"
@@ -17,6 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies",
+        F.get("positions", F.lit(0)).alias("position"),
+    ).orderBy("position", "doc_id")
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.examples(talks.unionByName(tricky)))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    judged = quality.site_posteriors(docs, model, F.col("source"), F.col("lang"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "p_text", "p_host", "p_path", "p_good", "keep"
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.benchmark_overlaps(docs, benchmark)
@@ -31,10 +59,46 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Action, host and path of the url rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS t(action, host, path)")
+    return link_graph.judged_pages(table(spark, sf_dir, "pages"), rules)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def count_of(no: int):
+        return F.size(F.filter("base", lambda s: s["kind_no"] == no)).cast("long")
+
+    counts = [count_of(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = {
+        "op2_source_mixing": op2_source_mixing,
+        "op3_chat_formatting": op3_chat_formatting,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op9_url_filter": op9_url_filter,
+        "op10_personal_data": op10_personal_data,
     }
 
     def prepared(build):
@@ -47,5 +111,70 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: prepared(build) for name, build in built.items()}
 
 
+_OP2_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '')) AS key,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents),
+sources AS (
+  SELECT *, CASE rank % 3 WHEN 1 THEN 5.0::double WHEN 2 THEN 2.0::double ELSE 1.0::double END AS weight,
+    CASE rank % 3 WHEN 1 THEN 1.0::double WHEN 2 THEN 0.5::double ELSE 1.5::double END AS a,
+    CASE rank % 3 WHEN 1 THEN 1.0::double WHEN 2 THEN 1.5::double ELSE 0.5::double END AS b,
+    2.0::double * source_size AS most
+  FROM (
+    SELECT source, cast(sum(size) AS bigint) AS source_size,
+      row_number() OVER (ORDER BY source IS NULL, source) AS rank
+    FROM sizes GROUP BY source)),
+shares AS (
+  SELECT *, row_number() OVER upto AS nth,
+    (1.5::double * sum(source_size) OVER () - coalesce(sum(most) OVER (
+       ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::double))
+    / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      AS share
+  FROM sources WINDOW upto AS (ORDER BY most / weight, rank)),
+targets AS (
+  SELECT *, least(most, coalesce(weight * (
+    SELECT arg_min(share, nth) FROM shares WHERE share * weight <= most), most)) AS target
+  FROM shares),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.a, t.b,
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::double AS middle
+  FROM sizes AS s JOIN targets AS t ON s.source IS NOT DISTINCT FROM t.source),
+counted AS (
+  SELECT *, CASE WHEN target > middle AND source_size > 0
+    THEN cast(ceil((target - middle) / source_size) AS int) ELSE 0 END AS copies,
+    CASE WHEN target > 0 THEN middle / target * ((a + b) / 2) ELSE 0 END AS need
+  FROM placed)
+SELECT doc_id, size, source_size, target, cast(copies * size AS bigint) AS taken, copies,
+  CASE WHEN copies = 0 THEN NULL WHEN need > 0
+    THEN 2 * need / (a + sqrt(greatest(a * a + 2 * (b - a) * need, 0))) ELSE 0 END AS position
+FROM counted"""
+
+
+_OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, role = 'assistant' AS is_reply, row_number() OVER later AS from_end,
+    3 + length(replace(replace(replace(replace(
+      role, '%', '%25'), chr(10), '%0A'), '<', '%3C'), '[', '%5B'))
+    + 1 + length(regexp_replace(text, '(\\*)(</?s>|\[/?INST\])', '\\\1\2', 'g')) + 5 AS chars
+  FROM turns WINDOW later AS (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC)),
+used AS (
+  SELECT *, sum(CASE WHEN is_reply OR from_end = 1 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id ORDER BY from_end) AS times
+  FROM written)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY from_end DESC)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE is_reply), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY from_end DESC) FILTER (WHERE is_reply), ''))
+    AS loss_sha256,
+  sum(chars * times)::bigint AS formatted_chars
+FROM used GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": _OP2_SQL, "op3_chat_formatting": _OP3_SQL}
