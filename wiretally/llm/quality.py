@@ -32,8 +32,10 @@ from wiretally.llm.tokens import (
 )
 
 BUCKET_BITS = 18
+#: Bytes of the word beginnings that are features beside the words.
+STEMS = (4, 5)
 #: Labelled rows that the model is fitted on, at most.
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 THRESHOLD = 0.5
 #: Bounds of the shrinkage, in documents' worth of evidence.
 STRENGTH = (1.0, 1e6)
@@ -80,9 +82,10 @@ def _ratios(data, offsets, token, n_rows: int, distinct: np.ndarray) -> tuple[np
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Features:
-    """Hashed words, token shapes (runs of one character class) and ratios of a slice."""
+    """Hashed words and their beginnings, token shapes (runs of one character class) and ratios."""
     n_rows = len(offsets) - 1
-    word = words(data, offsets, NOT_ALNUM, ASCII_LOWER)
+    low = ASCII_LOWER[data]
+    word = words(low, offsets, NOT_ALNUM, None)
     token = words(data, offsets, WHITESPACE, None)
     shape = _SHAPE[data]
     starts = np.zeros(len(data) + 1, bool)
@@ -98,9 +101,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
 
     of_words = keys(word.row, (word.hash >> _SHIFT).astype(np.int64))
     distinct = np.bincount(of_words >> BUCKET_BITS, minlength=n_rows)
+    stems = [
+        keys(word.row[long], ((mix(hashes(low, word.start[long], word.start[long] + n)) >> _SHIFT)).astype(np.int64))
+        for n in STEMS
+        for long in [word.end - word.start > n]
+    ]
     of_shapes = keys(token.row, (shapes >> _SHIFT).astype(np.int64))
     of_ratios = keys(*_ratios(data, offsets, token, n_rows, distinct))
-    key = np.unique(np.concatenate([of_words, of_shapes, of_ratios]))
+    key = np.unique(np.concatenate([of_words, *stems, of_shapes, of_ratios]))
     return Features(key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1))
 
 
@@ -121,7 +129,7 @@ class Model(NamedTuple):
         return found + self.bias
 
 
-def fit_model(rows: list[np.ndarray], good: np.ndarray, rounds: int = 8, step: float = 0.15) -> Model:
+def fit_model(rows: list[np.ndarray], good: np.ndarray, rounds: int = 12, step: float = 0.3) -> Model:
     """Logistic regression by adaptive gradient steps over the rows in a fixed order."""
     n_good = float(good.sum())
     prior = float(np.log((n_good + 0.5) / (len(good) - n_good + 0.5)))
