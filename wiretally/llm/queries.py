@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import chat, decontaminate, link_graph, mixing, near_dedup, pii, quality
+from wiretally.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    interpolation,
+    language,
+    link_graph,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+)
 
 #: Rows of an Arrow batch: long texts make batches large before rows do.
 ARROW_ROWS = "1000"
@@ -17,6 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str = "doc_id"):
+    """One of five parts that a document belongs to."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5))
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.col("fp").alias("fingerprint"),
+        F.col("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(
@@ -59,6 +88,27 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language.learned_samples(docs, fold() != 0)
+    found = language.identified(docs.withColumn("key", F.struct("doc_id", (fold() == 0).alias("held_out"))), samples, "key")
+    return found.select("id.doc_id", "id.held_out", "lang_pred", "score")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = (
+        F.when(fold() == 1, interpolation.SCORED)
+        .when(fold() == 2, interpolation.HELD)
+        .otherwise(interpolation.COUNTED)
+    )
+    found = interpolation.scored(table(spark, sf_dir, "documents"), role)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.col("role") == interpolation.SCORED).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 #: Action, host and path of the url rules.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -92,11 +142,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = {
+        "op1_document_fingerprints": op1_document_fingerprints,
         "op2_source_mixing": op2_source_mixing,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_url_filter": op9_url_filter,
         "op10_personal_data": op10_personal_data,
     }
