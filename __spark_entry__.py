@@ -27,16 +27,28 @@ from wiretally.functions import header_field, is_valid, packet_size, size_text
 from wiretally.layout import HEADER_FIELDS, PACKET_NAMES  # noqa: E402
 from wiretally.operators import names, rates, sequence, stats  # noqa: E402
 from wiretally.operators.headers import decode_headers  # noqa: E402
+from wiretally.operators.ordering import CHUNK_BITS  # noqa: E402
 from wiretally.plans.capture_summary import capture_summary, in_report_order  # noqa: E402
 from wiretally.plans.interval_report import interval_report  # noqa: E402
 from wiretally.plans.type_summary import flashbacks, type_summary  # noqa: E402
-from wiretally.session import scratch_dir, use_utc  # noqa: E402
+from wiretally.session import scratch_dir, use_rocksdb, use_utc  # noqa: E402
 from wiretally.sources.anchors import with_recv_ts  # noqa: E402
 from wiretally.sources.archive import read_archive, stream_archive, write_archive  # noqa: E402
-from wiretally.sources.captures import capture_files, read_captures  # noqa: E402
+from wiretally.sources.captures import (  # noqa: E402
+    capture_files,
+    frame_damage,
+    open_files,
+    read_captures,
+    read_packets,
+)
 from wiretally.sources.export import SEGMENT_BITS, write_captures  # noqa: E402
+from wiretally.sources.packets import read_packets_table, write_packets  # noqa: E402
 from wiretally.sources.splits import read_split_captures  # noqa: E402
-from wiretally.streaming.aggregates import stream_packet_rates, stream_sessions  # noqa: E402
+from wiretally.streaming.aggregates import (  # noqa: E402
+    stream_packet_rates,
+    stream_sessions,
+    stream_type_stats,
+)
 from wiretally.streaming.ingest import stream_captures  # noqa: E402
 from wiretally.streaming.results import run_appending, run_complete  # noqa: E402
 from wiretally.streaming.stateful import stream_event_runs, stream_reversals  # noqa: E402
@@ -45,6 +57,12 @@ from wiretally.streaming.stateful import stream_event_runs, stream_reversals  #
 WINDOW_SECONDS = 6 * 3600
 WINDOW_US = WINDOW_SECONDS * 1_000_000
 
+# Small settings for the queries that cross many boundaries.
+FEW_BITS = 10
+FEW_WINDOWS_BITS = 3
+RANGE_BYTES = 20_000
+FILES_AT_ONCE = 16
+
 RAW_COLUMNS = ["capture_id", "seq", "recv_mono", "payload"]
 DECODED = ["capture_id", "seq", "recv_mono", "size", *HEADER_FIELDS, "event_code"]
 
@@ -58,12 +76,89 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(events_as_datagrams(spark, sf_dir)).select(*RAW_COLUMNS)
 
 
-def _exported(spark: SparkSession, sf_dir: str, label: str) -> str:
+def _exported(
+    spark: SparkSession, sf_dir: str, label: str, segment_bits: int = SEGMENT_BITS
+) -> str:
     path = f"{scratch_dir(spark, label)}/log"
-    write_captures(_raw(spark, sf_dir), path)
+    write_captures(_raw(spark, sf_dir), path, segment_bits)
     return path
 
 
+def _capture_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs whose files have lost up to 60 bytes at their end, by segment."""
+    files = open_files(spark.read, _exported(spark, sf_dir, "damage", FEW_BITS), "int")
+    lost = F.pmod(F.shiftright("segment", FEW_BITS) * 7 + F.col("capture_id"), F.lit(61))
+    cut = files.withColumn("content", F.substring("content", F.lit(1), (F.col("length") - lost).cast("int")))
+    return frame_damage(cut)
+
+
+def _capture_split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = capture_files(spark, _exported(spark, sf_dir, "ranges"), "int")
+    return _payload_facts(read_split_captures(files, RANGE_BYTES))
+
+
+def _few_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = _exported(spark, sf_dir, "landing", FEW_BITS)
+    return stream_captures(spark, landing, "int", FILES_AT_ONCE, headers_only=True)
+
+
+def _wire_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Datagrams and packets of logs that were exported, framed, decoded and stored."""
+    root = scratch_dir(spark, "wire")
+    logs = _exported(spark, sf_dir, "wire-log")
+    write_archive(read_captures(spark, logs, "int"), f"{root}/archive")
+    write_packets(read_packets(spark, logs, "int"), f"{root}/packets")
+    return read_archive(spark, f"{root}/archive"), read_packets_table(spark, f"{root}/packets")
+
+
+def _wire_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_report_order(type_summary(_wire_tables(spark, sf_dir)[1]))
+
+
+def _wire_capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received, packets = _wire_tables(spark, sf_dir)
+    return in_report_order(capture_summary(capture_manifest(spark, sf_dir), received, packets))
+
+
+def _wire_interval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = capture_manifest(spark, sf_dir)
+    received, packets = (with_recv_ts(t, manifest) for t in _wire_tables(spark, sf_dir))
+    return _shown_windows(interval_report(received, packets, WINDOW_SECONDS))
+
+
+def _interval_report_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received, packets = events_as_datagrams(spark, sf_dir), events_as_packets(spark, sf_dir)
+    return interval_report(received, packets, WINDOW_SECONDS, relative=True)
+
+
+def _interval_report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received, packets = events_as_datagrams(spark, sf_dir), events_as_packets(spark, sf_dir)
+    return _shown_windows(interval_report(received, packets, WINDOW_SECONDS, FEW_WINDOWS_BITS))
+
+
+def _running_totals_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received, packets = events_as_datagrams(spark, sf_dir), events_as_packets(spark, sf_dir)
+    return rates.running_capture_totals(_windowed(received), _windowed(packets), FEW_WINDOWS_BITS)
+
+
+def _packet_rates_dense_blocks(packets: DataFrame) -> DataFrame:
+    found = rates.dense_rates(_windowed(packets), WINDOW_SECONDS, FEW_WINDOWS_BITS)
+    return _shown_windows(found)
+
+
+def _stream_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = run_complete(stream_type_stats(_few_at_a_time(spark, sf_dir)), "stream-types")
+    return counted.withColumn("sizes", size_text(F.col("sizes")))
+
+
+def _stream_reversals_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_appending(stream_reversals(_few_at_a_time(spark, sf_dir)), "stream-reversals")
+
+
+def _stream_event_runs_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_appending(stream_event_runs(_few_at_a_time(spark, sf_dir)), "stream-runs")
+
+
 def _shown_windows(df: DataFrame) -> DataFrame:
     """Window starts as the zone-free type, beside their index."""
     if "window_start" not in df.columns:
@@ -251,10 +346,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_reversals": _stream_reversals,
         "stream_event_runs": _stream_event_runs,
         "stream_sessions": _stream_sessions,
+        "stream_type_stats": _stream_type_stats,
+        "capture_damage": _capture_damage,
+        "wire_type_stats": _wire_type_stats,
+        "wire_capture_summary": _wire_capture_summary,
+        "wire_interval_report": _wire_interval_report,
+        "interval_report_relative": _interval_report_relative,
+        # The same operators with settings small enough to cross many chunks,
+        # blocks, ranges, segments and batches on small tables.
+        "packet_type_stats_chunks": on_packets(
+            lambda p: in_report_order(type_summary(p, FEW_BITS))
+        ),
+        "reversal_counts_chunks": on_packets(lambda p: stats.reversal_counts(p, FEW_BITS)),
+        "reversals_chunks": on_packets(lambda p: sequence.reversals(p, FEW_BITS)),
+        "event_runs_chunks": on_packets(lambda p: sequence.event_runs(p, FEW_BITS)),
+        "event_sequence_parts": on_packets(
+            lambda p: sequence.event_sequence(sequence.event_runs(p, FEW_BITS), FEW_BITS)
+        ),
+        "packet_rates_dense_blocks": on_packets(_packet_rates_dense_blocks),
+        "running_totals_blocks": _running_totals_blocks,
+        "interval_report_blocks": _interval_report_blocks,
+        "capture_split_ranges": _capture_split_ranges,
+        "stream_reversals_batches": _stream_reversals_batches,
+        "stream_event_runs_batches": _stream_event_runs_batches,
     }
 
     def in_utc(build):
-        return lambda spark, sf_dir: build(use_utc(spark), sf_dir)
+        return lambda spark, sf_dir: build(use_rocksdb(use_utc(spark)), sf_dir)
 
     builders |= _training_data()[0]
     return {name: in_utc(build) for name, build in builders.items()}
@@ -289,6 +407,15 @@ _PAYLOAD_HEX = " || ".join(
     ]
 )
 
+def _framed(name: str, bits: int) -> str:
+    return f"""{name} AS (
+  SELECT *, (seq >> {bits}) * {1 << bits} + row_number() OVER (
+      PARTITION BY capture_id, seq >> {bits} ORDER BY seq) - 1 AS framed_seq
+  FROM datagrams)"""
+
+
+_WINDOWED = f"wd AS (SELECT *, recv_us // {WINDOW_US} AS window_index FROM datagrams),"
+
 _WITH = f"""{DATAGRAMS_SQL},
 names AS (SELECT * FROM (VALUES {_CATALOG}) AS t(packet_id, packet_name)),
 lagged AS (
@@ -322,7 +449,7 @@ flashbacks AS (
   SELECT capture_id, packet_id, backwards,
     coalesce(packet_name, cast(packet_id AS varchar)) AS packet_name
   FROM type_stats LEFT JOIN names USING (packet_id) WHERE backwards > 0),
-wd AS (SELECT *, recv_us // {WINDOW_US} AS window_index FROM datagrams),
+{_WINDOWED}
 wp AS (SELECT * FROM wd WHERE size >= 29),
 window_rates AS (
   SELECT capture_id, window_index, packet_id, count(*) AS n FROM wp GROUP BY ALL),
@@ -338,10 +465,8 @@ dense AS (
   LEFT JOIN window_rates AS r USING (capture_id, packet_id, window_index)),
 new_sessions AS (
   SELECT capture_id, session_uid, min(window_index) AS window_index FROM wp GROUP BY ALL),
-framed AS (
-  SELECT *, (seq >> {SEGMENT_BITS}) * {1 << SEGMENT_BITS} + row_number() OVER (
-      PARTITION BY capture_id, seq >> {SEGMENT_BITS} ORDER BY seq) - 1 AS framed_seq
-  FROM datagrams)
+{_framed("framed", SEGMENT_BITS)},
+{_framed("framed_few", FEW_BITS)}
 """
 
 _RATES = f"""
@@ -369,8 +494,8 @@ SELECT capture_id, packet_id, seq, frame_id, prev_frame_id
 FROM lagged WHERE frame_id < prev_frame_id""",
     "event_packets": "SELECT * FROM events_in",
     "event_runs": "SELECT * FROM runs",
-    "event_sequence": """
-SELECT capture_id, seq >> 20 AS part, count(*) AS n_codes,
+    "event_sequence": f"""
+SELECT capture_id, seq >> {CHUNK_BITS} AS part, count(*) AS n_codes,
   string_agg(code, ' ' ORDER BY seq) AS sequence
 FROM runs GROUP BY ALL""",
     "capture_totals": """
@@ -443,8 +568,7 @@ SELECT m.capture_id,
   f.packet_format, f.game_year, f.game_major, f.game_minor, f.player_car, f.format_ok,
   CASE WHEN v.packets IS NOT NULL THEN coalesce(x.missing, '') END AS missing,
   CASE WHEN v.packets IS NOT NULL THEN coalesce(b.flashbacks, '') END AS flashbacks,
-  CASE WHEN v.packets IS NOT NULL THEN coalesce(e.event_runs, 0) END AS event_runs,
-  CASE WHEN v.packets IS NOT NULL THEN coalesce(e.events, '') END AS events
+  CASE WHEN v.packets IS NOT NULL THEN coalesce(e.event_runs, 0) END AS event_runs
 FROM manifest AS m
 LEFT JOIN (
   SELECT capture_id, count(*) AS datagrams, count(*) FILTER (WHERE size < 29) AS runts,
@@ -461,7 +585,7 @@ LEFT JOIN (
     string_agg(packet_name || ' ' || backwards, ', ' ORDER BY packet_id) AS flashbacks
   FROM flashbacks GROUP BY ALL) AS b USING (capture_id)
 LEFT JOIN (
-  SELECT capture_id, count(*) AS event_runs, string_agg(code, ' ' ORDER BY seq) AS events
+  SELECT capture_id, count(*) AS event_runs
   FROM runs GROUP BY ALL) AS e USING (capture_id)""",
     "decode_headers": f"SELECT {', '.join(DECODED)} FROM packets",
     "header_fields": f"SELECT capture_id, seq, {', '.join(HEADER_FIELDS)} FROM packets",
@@ -482,8 +606,63 @@ FROM runs JOIN framed USING (capture_id, seq)""",
 _ORACLES["capture_split_roundtrip"] = _ORACLES["capture_roundtrip"]
 _ORACLES["stream_archive"] = _ORACLES["capture_roundtrip"]
 _ORACLES["stream_sessions"] = _ORACLES["capture_sessions"]
+_ORACLES["stream_type_stats"] = """
+SELECT capture_id, packet_id, n, bytes, sizes FROM type_stats
+JOIN (SELECT capture_id, packet_id, cast(sum(size) AS bigint) AS bytes FROM packets GROUP BY ALL)
+USING (capture_id, packet_id)"""
+_ORACLES["capture_damage"] = f"""
+SELECT capture_id, segment, record, byte, kept - byte AS unread_bytes, 'cut record' AS problem
+FROM (
+  SELECT capture_id, (seq >> {FEW_BITS}) << {FEW_BITS} AS segment, framed_seq AS record,
+    cast(sum(size + 12) OVER upto - size - 12 AS bigint) AS byte,
+    cast(sum(size + 12) OVER upto AS bigint) AS ends,
+    cast(sum(size + 12) OVER (PARTITION BY capture_id, seq >> {FEW_BITS}) AS bigint)
+      - ((seq >> {FEW_BITS}) * 7 + capture_id) % 61 AS kept
+  FROM framed_few
+  WINDOW upto AS (PARTITION BY capture_id, seq >> {FEW_BITS} ORDER BY seq))
+WHERE byte < kept AND ends > kept"""
+for _name, _like in {
+    "wire_type_stats": "packet_type_stats",
+    "wire_capture_summary": "capture_summary",
+    "wire_interval_report": "interval_report",
+    "packet_type_stats_chunks": "packet_type_stats",
+    "reversal_counts_chunks": "reversal_counts",
+    "reversals_chunks": "reversals",
+    "event_runs_chunks": "event_runs",
+    "packet_rates_dense_blocks": "packet_rates_dense",
+    "running_totals_blocks": "running_totals",
+    "interval_report_blocks": "interval_report",
+    "capture_split_ranges": "capture_roundtrip",
+}.items():
+    _ORACLES[_name] = _ORACLES[_like]
+_ORACLES["event_sequence_parts"] = _ORACLES["event_sequence"].replace(
+    f"seq >> {CHUNK_BITS}", f"seq >> {FEW_BITS}"
+)
+for _name in ("stream_reversals", "stream_event_runs"):
+    _ORACLES[f"{_name}_batches"] = _ORACLES[_name].replace("framed AS f", "framed_few AS f").replace(
+        "JOIN framed USING", "JOIN framed_few USING"
+    )
+
+# Windows from each capture's first valid packet, by its own clock.
+_RELATIVE_WITH = _WITH.replace(
+    _WINDOWED,
+    f"""wd AS (
+  SELECT d.*, cast(floor((d.recv_mono - f.recv_mono) / cast({WINDOW_SECONDS} AS double)) AS bigint)
+    AS window_index
+  FROM datagrams AS d JOIN first_packets AS f USING (capture_id)),""",
+)
+_RELATIVE_REPORT = (
+    _ORACLES["interval_report"]
+    .replace(f"  make_timestamp(d.window_index * {WINDOW_US}) AS window_start,\n", "")
+    .replace(
+        f"cast((d.window_index + 1) * {WINDOW_US} - f.recv_us AS double) / 1e6",
+        f"(d.window_index + 1) * cast({WINDOW_SECONDS} AS double)",
+    )
+)
 
 
 def oracle_sql() -> dict[str, str]:
     """Standard SQL with the same result for every query."""
-    return {name: _WITH + sql for name, sql in _ORACLES.items()} | _training_data()[1]
+    own = {name: _WITH + sql for name, sql in _ORACLES.items()}
+    own["interval_report_relative"] = _RELATIVE_WITH + _RELATIVE_REPORT
+    return own | _training_data()[1]

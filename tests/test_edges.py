@@ -49,9 +49,9 @@ def test_empty_datagram_leaves_no_trace(raw):
     assert rows(stats.capture_totals(datagrams(df))) == [(1, 1, 0, 29, 29 / 1e6)]
 
 
-def test_longer_than_the_receive_buffer_is_cut(raw):
+def test_a_long_datagram_is_kept_whole(raw):
     kept = datagrams(raw({1: [datagram(size=5000)]}))
-    assert rows(kept.select("size", F.octet_length("payload"))) == [(4096, 4096)]
+    assert rows(kept.select("size", F.octet_length("payload"))) == [(5000, 5000)]
 
 
 def test_event_code_needs_33_bytes(raw):
@@ -196,21 +196,19 @@ def test_no_packets_status(spark, raw):
     assert [found[c]["status"] for c in (0, 1, 2)] == ["no_packets", "no_packets", "ok"]
     assert (found[0]["total_bytes"], found[1]["total_bytes"]) == (0, 5)
     assert found[1]["sessions"] is None and found[1]["missing"] is None
-    assert (found[2]["flashbacks"], found[2]["events"], found[2]["event_runs"]) == ("", "", 0)
+    assert (found[2]["flashbacks"], found[2]["event_runs"]) == ("", 0)
 
 
-def test_long_event_logs_stay_in_parts(spark, raw):
+def test_event_logs_are_counted_and_listed_in_parts(spark, raw):
     codes = [b"AAAA", b"BBBB"] * 3
     df = raw({1: [datagram(3, size=33, code=c) for c in codes], 2: [datagram()]})
-    manifest = spark.createDataFrame([(1,), (2,)], "capture_id int")
-    packets = decode_headers(df)
-    short, cut = (
-        {r["capture_id"]: r for r in capture_summary(
-            manifest, datagrams(df), packets, 1, inline).collect()}
-        for inline in (6, 5)
-    )
-    assert short[1]["events"] == "AAAA BBBB AAAA BBBB AAAA BBBB"
-    assert (cut[1]["events"], cut[1]["event_runs"], cut[2]["events"]) == (None, 6, "")
+    found = summary_of(spark, df, [1, 2])
+    assert (found[1]["event_runs"], found[2]["event_runs"]) == (6, 0)
+    assert "events" not in found[1].asDict()
+    parts = sequence.event_sequence(sequence.event_runs(decode_headers(df)), 1)
+    assert rows(parts.select("capture_id", "part", "sequence"), "part") == [
+        (1, k, "AAAA BBBB") for k in range(3)
+    ]
 
 
 def test_clock_starts_at_the_first_valid_packet(spark, raw):

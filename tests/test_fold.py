@@ -1,4 +1,4 @@
-"""Random captures: the Spark jobs against one plain pass over the records."""
+"""Random captures: the Spark jobs against what the captures hold by definition."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pytest
 from wire import RAW_SCHEMA, profile, random_capture, raw_rows
 
 from wiretally.operators.headers import datagrams, decode_headers
+from wiretally.operators.sequence import event_runs, event_sequence
 from wiretally.operators.stats import packet_type_stats
 from wiretally.plans.capture_summary import capture_summary
 from wiretally.plans.interval_report import interval_report
@@ -78,10 +79,20 @@ def test_summary(spark, raw, expected, chunk_bits):
         first = ("packet_format", "game_year", "game_major", "game_minor", "player_car")
         assert tuple(row[f] for f in first) == want["first"]
         assert row["missing"] == ", ".join(want["missing"])
-        assert row["events"] == " ".join(want["events"])
         assert row["event_runs"] == len(want["events"])
 
 
+@pytest.mark.parametrize("bits", [3, 20])
+def test_event_sequence(raw, expected, bits):
+    parts = event_sequence(event_runs(decode_headers(raw), bits), bits).orderBy("capture_id", "part")
+    found = {}
+    for r in parts.collect():
+        found.setdefault(r["capture_id"], []).append(r["sequence"])
+    assert {c: " ".join(t) for c, t in found.items()} == {
+        c: " ".join(e["events"]) for c, e in expected.items() if e["events"]
+    }
+
+
 @pytest.mark.parametrize("block_bits", [2, 12])
 def test_interval_report(raw, expected, block_bits):
     found = interval_report(datagrams(raw), decode_headers(raw), SECONDS, block_bits).collect()

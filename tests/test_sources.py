@@ -8,17 +8,24 @@ import pytest
 from pyspark.sql import functions as F
 from wire import RAW_SCHEMA, datagram, log, random_capture, raw_rows, record
 
-from wiretally.operators.headers import decode_headers
-from wiretally.sources.anchors import approximate_anchors, with_recv_ts
+from wiretally.operators import rates
+from wiretally.operators.headers import datagrams, decode_headers
+from wiretally.plans.interval_report import interval_report
+from wiretally.sources.anchors import approximate_anchors, unanchored_captures, with_recv_ts
 from wiretally.sources.archive import read_archive, write_archive
 from wiretally.sources.captures import (
+    capture_damage,
     capture_files,
+    damage_in,
     listed_captures,
     read_captures,
     read_packets,
 )
 from wiretally.sources.export import write_captures
+from wiretally.sources.packets import read_packets_table, write_packets
 from wiretally.sources.splits import MAX_RECORD_BYTES, chains, read_split_captures
+from wiretally.streaming.ingest import stream_damage
+from wiretally.streaming.results import run_appending
 
 
 def records_of(df):
@@ -196,3 +203,74 @@ def test_anchors(spark, tmp_path):
     assert anchors.collect()[0]["approximate"]
     other = spark.createDataFrame([("b", 0)], "capture_id string, anchor_us bigint")
     assert with_recv_ts(raw, other).where("recv_ts is null").count() == 4
+
+
+def test_a_second_export_into_a_segment_fails_and_keeps_the_first(spark, tmp_path, captures):
+    path = str(tmp_path / "logs")
+    raw = spark.createDataFrame(raw_rows({1: captures[1]}), RAW_SCHEMA)
+    write_captures(raw.where("seq < 100"), path)
+    write_captures(raw.where("seq < 100"), path)  # the same again is harmless
+    with pytest.raises(Exception, match="exists with other records"):
+        write_captures(raw.where("seq >= 100"), path)
+    assert read_captures(spark, path, "int").count() == 100
+    assert not [p for p in (tmp_path / "logs").rglob(".segment*")]
+
+
+def test_damage_is_reported_beside_every_reader(spark, tmp_path):
+    made = [datagram(frame=i, size=100) for i in range(40)]
+    folder = tmp_path / "logs" / "capture_id=3"
+    folder.mkdir(parents=True)
+    whole = bytearray(log(made))
+    whole[10 * 112 : 10 * 112 + 4] = (0).to_bytes(4, "little")
+    (folder / "segment-0.bin").write_bytes(bytes(whole))
+    (folder / "segment-40.bin").write_bytes(log(made)[:-1])
+    (folder / "segment-80.bin").write_bytes(log(made))
+    path = str(tmp_path / "logs")
+    want = [
+        (3, 0, 10, 1120, 30 * 112, "bad length"),
+        (3, 40, 79, 39 * 112, 111, "cut record"),
+    ]
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert shown(capture_damage(spark, path, "int")) == want
+    files = capture_files(spark, path, "int")
+    assert shown(damage_in(read_captures(spark, path, "int"), files)) == want
+    assert shown(damage_in(read_split_captures(files, 500), files)) == want
+    live = stream_damage(spark, path, "int", 1)
+    assert shown(run_appending(live, "damage", str(tmp_path / "work"))) == want
+    assert read_packets(spark, path, "int").count() == 10 + 39 + 40
+
+
+def test_long_datagrams_are_archived_whole_and_never_cut_in_logs(spark, tmp_path):
+    raw = spark.createDataFrame([(1, 0, 1.0, bytearray(b"z" * 5000))], RAW_SCHEMA)
+    write_archive(raw, str(tmp_path / "archive"))
+    row = read_archive(spark, str(tmp_path / "archive")).first()
+    assert (row["size"], bytes(row["payload"])) == (5000, b"z" * 5000)
+    with pytest.raises(Exception, match="no datagram above 4096"):
+        write_captures(raw, str(tmp_path / "logs"))
+
+
+def test_stored_packets_prune_columns_and_types(spark, tmp_path, captures):
+    raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA)
+    path = str(tmp_path / "packets")
+    write_packets(decode_headers(raw), path)
+    stored = read_packets_table(spark, path)
+    same = [c for c in decode_headers(raw).columns]
+    assert stored.select(same).exceptAll(decode_headers(raw)).count() == 0
+    few = stored.where("capture_id = 1 AND packet_id = 3").select("frame_id")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(packet_id,3)" in plan and "PartitionFilters: [isnotnull(capture_id" in plan
+    assert "ReadSchema: struct<packet_id:int,frame_id:bigint>" in plan
+
+
+def test_captures_without_an_anchor_stay_visible(spark, captures):
+    raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA)
+    anchors = spark.createDataFrame([(1, 0)], "capture_id int, anchor_us bigint")
+    stamped = with_recv_ts(raw, anchors)
+    packets = decode_headers(stamped)
+    assert [tuple(r) for r in unanchored_captures(stamped).collect()] == [(2, len(captures[2]))]
+    found = rates.packet_rates(rates.with_window(packets, 2.0), 2.0).where("capture_id = 2")
+    assert all(r["window_index"] is None and r["hz"] is None for r in found.collect())
+    report = interval_report(datagrams(stamped), packets, 2.0, relative=True)
+    assert {r[0] for r in report.select("capture_id").distinct().collect()} == {1, 2}
+    plain = interval_report(datagrams(stamped), packets, 2.0)
+    assert {r[0] for r in plain.select("capture_id").distinct().collect()} == {1}

@@ -15,7 +15,11 @@ from wiretally.sources.anchors import with_recv_ts
 from wiretally.operators.headers import decode_headers
 from wiretally.sources.archive import read_archive, stream_archive, write_archive
 from wiretally.sources.captures import read_captures, read_packets
-from wiretally.streaming.aggregates import stream_packet_rates, stream_sessions
+from wiretally.streaming.aggregates import (
+    stream_packet_rates,
+    stream_sessions,
+    stream_type_stats,
+)
 from wiretally.streaming.ingest import stream_captures, stream_from_archive
 from wiretally.streaming.results import run_appending, run_complete
 from wiretally.streaming.stateful import stream_event_runs, stream_reversals
@@ -180,3 +184,37 @@ def test_a_late_segment_is_flagged(spark, tmp_path):
     batch = read_packets(spark, str(folder), "int").where(F.col("segment") == SEGMENT)
     heads = batch.groupBy("capture_id", "packet_id").agg(F.min("seq").alias("seq"))
     same(flagged.select("capture_id", "packet_id", "seq"), heads)
+
+
+def test_type_stats(live, batch, tmp_path):
+    found = run_complete(stream_type_stats(live), "t", str(tmp_path))
+    same(found.select("capture_id", "packet_id", "n", "sizes"), stats.packet_type_stats(batch))
+    totals = batch.groupBy("capture_id", "packet_id").agg(F.sum(F.col("size").cast("long")).alias("bytes"))
+    same(found.select("capture_id", "packet_id", "bytes"), totals)
+
+
+def test_a_restart_without_new_data_finds_the_last_result(spark, landing, tmp_path):
+    run = lambda: run_complete(
+        stream_sessions(stream_captures(spark, landing, "int", 3, headers_only=True)), "t", str(tmp_path)
+    ).collect()
+    first = run()
+    assert len(first) == 2 and sorted(run()) == sorted(first)
+    assert len([p for p in os.listdir(tmp_path) if p.startswith("batch=")]) == 1
+
+
+def test_sessions_with_expiry_agree_while_captures_are_short(spark, live, batch, tmp_path):
+    timed = with_recv_ts(live, anchors(spark))
+    found = run_complete(stream_sessions(timed, "1 hour"), "t", str(tmp_path))
+    same(found, stats.capture_sessions(batch))
+
+
+def test_stateful_streams_ask_for_their_state_store(spark, landing):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        live = stream_captures(spark, landing, "int", headers_only=True)
+        with pytest.raises(ValueError, match="stateStore"):
+            stream_reversals(live)
+    finally:
+        spark.conf.set(key, before)

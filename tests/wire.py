@@ -1,13 +1,14 @@
-"""Hand-made datagrams and logs, and a plain loop that profiles them.
+"""Hand-made datagrams and logs, and what a capture holds by definition.
 
-The loop is the independent answer the Spark jobs are held against: it goes
-over the records of one capture once, in order, as a live probe would.
+``profile`` is the independent answer the Spark jobs are held against. It takes
+a whole capture at once and derives each fact from its definition.
 """
 
 from __future__ import annotations
 
 import random
 import struct
+from itertools import groupby, pairwise
 
 from wiretally.layout import PACKET_NAMES
 
@@ -82,66 +83,53 @@ def random_capture(rng: random.Random, n: int) -> list[bytes]:
     return made
 
 
+def fields(data: bytes) -> dict:
+    """The header fields that the statistics rest on."""
+    number = lambda lo, hi: int.from_bytes(data[lo:hi], "little")
+    return {
+        "type": data[6],
+        "session": number(7, 15),
+        "frame": number(19, 23),
+        "first": (number(0, 2), data[2], data[3], data[4], data[27]),
+    }
+
+
 def profile(datagrams, times, window_of) -> dict:
-    """One pass over a capture: totals, per-type state, events, window reports."""
-    seen: dict[int, dict] = {}
-    events: list[str] = []
-    sessions: set[int] = set()
-    reports: dict[int, dict] = {}
-    counts: dict[tuple[int, int], int] = {}
-    total_bytes = datagram_count = runts = 0
-    first = None
-    window = None
-
-    def report(upto):
-        for w in range(window, upto):
-            reports[w] = {
-                "bytes": total_bytes,
-                "sessions": len(sessions),
-                "types": {
-                    p: (s["n"], counts.get((w, p), 0), sorted(s["sizes"]))
-                    for p, s in seen.items()
-                },
-            }
-
-    for data, now in zip(datagrams, times):
-        if not data:
-            continue
-        here = window_of(now)
-        if first is not None and here > window:
-            report(here)
-            window = here
-        datagram_count += 1
-        total_bytes += len(data)
-        if len(data) < 29:
-            runts += 1
-            continue
-        packet_id = data[6]
-        frame = int.from_bytes(data[19:23], "little")
-        if first is None:
-            first = (int.from_bytes(data[0:2], "little"), data[2], data[3], data[4], data[27])
-            window = here
-        sessions.add(int.from_bytes(data[7:15], "little"))
-        state = seen.setdefault(packet_id, {"n": 0, "sizes": set(), "back": 0, "last": None})
-        state["n"] += 1
-        state["sizes"].add(len(data))
-        state["back"] += state["last"] is not None and frame < state["last"]
-        state["last"] = frame
-        counts[here, packet_id] = counts.get((here, packet_id), 0) + 1
-        if packet_id == 3 and len(data) >= 33:
-            code = "".join(chr(b) if b < 128 else "�" for b in data[29:33])
-            if not events or events[-1] != code:
-                events.append(code)
-    if first is not None:
-        report(window + 1)
+    """What a whole capture holds, each part from its own definition."""
+    kept = [(d, window_of(t)) for d, t in zip(datagrams, times) if d]
+    valid = [(fields(d), len(d), w, d) for d, w in kept if len(d) >= 29]
+    by_type = {t: [v for v in valid if v[0]["type"] == t] for t in {v[0]["type"] for v in valid}}
+    types = {
+        t: {
+            "n": len(own),
+            "sizes": {size for _, size, _, _ in own},
+            "back": sum(b[0]["frame"] < a[0]["frame"] for a, b in pairwise(own)),
+            "last": own[-1][0]["frame"],
+        }
+        for t, own in by_type.items()
+    }
+    codes = [d[29:33].decode("ascii", "replace") for f, size, _, d in valid if f["type"] == 3 and size >= 33]
+    windows = range(valid[0][2], kept[-1][1] + 1) if valid else ()
+    reports = {
+        w: {
+            "bytes": sum(len(d) for d, at in kept if at <= w),
+            "sessions": len({f["session"] for f, _, at, _ in valid if at <= w}),
+            "types": {
+                t: (len(upto), sum(v[2] == w for v in upto), sorted({v[1] for v in upto}))
+                for t, own in by_type.items()
+                if (upto := [v for v in own if v[2] <= w])
+            },
+        }
+        for w in windows
+    }
     return {
-        "datagrams": datagram_count,
-        "runts": runts,
-        "total_bytes": total_bytes,
-        "sessions": len(sessions),
-        "first": first,
-        "types": seen,
-        "events": events,
-        "missing": [PACKET_NAMES[p] for p in sorted(PACKET_NAMES) if p not in seen],
+        "datagrams": len(kept),
+        "runts": len(kept) - len(valid),
+        "total_bytes": sum(len(d) for d, _ in kept),
+        "sessions": len({f["session"] for f, *_ in valid}),
+        "first": valid[0][0]["first"] if valid else None,
+        "types": types,
+        "events": [code for code, _ in groupby(codes)],
+        "missing": [name for t, name in sorted(PACKET_NAMES.items()) if t not in types],
         "reports": reports,
     }

@@ -16,20 +16,16 @@ from wiretally.functions.header_arrays import (
     binary_parts,
     decode_heads,
 )
-from wiretally.layout import EVENT_PACKET_BYTES, MAX_DATAGRAM_BYTES
+from wiretally.layout import EVENT_PACKET_BYTES
 
 
 def datagrams(raw: DataFrame) -> DataFrame:
-    """What a receiver keeps: no empty datagrams, none longer than its buffer.
+    """Every datagram that is not empty, as received.
 
-    Adds ``size``, the length after the cut, so that totals and counts never
-    have to read payloads again.
+    Adds ``size``, so that totals and counts never have to read payloads again.
     """
-    return (
-        raw.withColumn("payload", F.substring("payload", 1, MAX_DATAGRAM_BYTES))
-        .withColumn("size", packet_size(F.col("payload")))
-        .where(is_datagram(F.col("size")))
-    )
+    sized = raw.withColumn("size", packet_size(F.col("payload")))
+    return sized.where(is_datagram(F.col("size")))
 
 
 def decode_headers(packets_raw: DataFrame) -> DataFrame:
@@ -38,7 +34,8 @@ def decode_headers(packets_raw: DataFrame) -> DataFrame:
     Runts go first, on the JVM side. Only the bytes that can matter, header
     and code, cross to the Python workers; the rest of the payload does not.
     """
-    heads = datagrams(packets_raw).where(is_valid(F.col("size"))).withColumn("payload", F.substring("payload", 1, EVENT_PACKET_BYTES))
+    valid = datagrams(packets_raw).where(is_valid(F.col("size")))
+    heads = valid.withColumn("payload", F.substring("payload", 1, EVENT_PACKET_BYTES))
     kept = [f for f in heads.schema.fields if f.name != "payload"]
     names = [f.name for f in kept]
 

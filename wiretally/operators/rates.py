@@ -26,14 +26,19 @@ def with_window(df: DataFrame, seconds: float) -> DataFrame:
     return df.withColumn("window_index", (start / width).cast("bigint"))
 
 
-def with_relative_window(packets: DataFrame, seconds: float) -> DataFrame:
+def with_relative_window(
+    df: DataFrame, seconds: float, packets: DataFrame | None = None
+) -> DataFrame:
     """Add ``window_index``, counted from each capture's first valid packet.
 
-    Needs no clock anchor: both times come from the capture's own clock.
+    Needs no clock anchor: both times come from the capture's own clock. The
+    first packet is taken from ``packets``, by default ``df`` itself; rows of
+    ``df`` before it have negative windows, captures without one have no rows.
     """
-    started = packets.groupBy("capture_id").agg(F.min_by("recv_mono", "seq").alias("_started"))
+    valid = df if packets is None else packets
+    started = valid.groupBy("capture_id").agg(F.min_by("recv_mono", "seq").alias("_started"))
     return (
-        packets.join(started, "capture_id")
+        df.join(started, "capture_id")
         .withColumn(
             "window_index",
             F.floor((F.col("recv_mono") - F.col("_started")) / F.lit(float(seconds))),
@@ -52,11 +57,16 @@ def _micros(seconds: float) -> int:
 
 
 def packet_rates(windowed: DataFrame, seconds: float) -> DataFrame:
-    """Packets and rate per capture, window and type that occurs in it."""
+    """Packets and rate per capture, window and type that occurs in it.
+
+    A capture without a clock anchor has one row per type, its window and rate
+    NULL; relative windows give it rates.
+    """
+    in_window = F.col("window_index").isNotNull()
     return (
         windowed.groupBy(*TYPE_KEYS, "window_index")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("hz", rate(F.col("n"), F.lit(float(seconds))))
+        .withColumn("hz", F.when(in_window, rate(F.col("n"), F.lit(float(seconds)))))
     )
 
 

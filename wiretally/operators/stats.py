@@ -102,8 +102,27 @@ def packet_type_stats(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataF
 
 
 def reversal_counts(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """Reversals per capture and type."""
-    return packet_type_stats(packets, chunk_bits).select(*TYPE_KEYS, "backwards")
+    """Reversals per capture and type.
+
+    Chunks fold to their number of reversals and their first and last frame;
+    sizes take no part.
+    """
+    chunk_keys = [*TYPE_KEYS, "_chunk"]
+    inside = Window.partitionBy(*chunk_keys).orderBy("seq")
+    chunks = (
+        packets.select(*TYPE_KEYS, "seq", "frame_id", F.shiftright("seq", chunk_bits).alias("_chunk"))
+        .withColumn("_back", F.col("frame_id") < F.lag("frame_id").over(inside))
+        .groupBy(*chunk_keys)
+        .agg(
+            F.count_if("_back").alias("backwards"),
+            F.min_by("frame_id", "seq").alias("first_frame"),
+            F.max_by("frame_id", "seq").alias("last_frame"),
+        )
+    )
+    order = Window.partitionBy(*TYPE_KEYS).orderBy("_chunk")
+    falls = (F.col("first_frame") < F.lag("last_frame").over(order)).cast("bigint")
+    linked = chunks.withColumn("_falls", F.coalesce(falls, F.lit(0)))
+    return linked.groupBy(*TYPE_KEYS).agg(F.sum(F.col("backwards") + F.col("_falls")).alias("backwards"))
 
 
 def capture_totals(datagrams: DataFrame) -> DataFrame:

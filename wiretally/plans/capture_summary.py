@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wiretally.layout import PACKET_NAMES, UNKNOWN_NAME
 from wiretally.operators.names import packet_name
 from wiretally.operators.ordering import CHUNK_BITS
-from wiretally.operators.sequence import event_runs, event_sequence
+from wiretally.operators.sequence import event_runs
 from wiretally.operators.stats import (
     capture_facts,
     capture_sessions,
@@ -16,8 +16,6 @@ from wiretally.operators.stats import (
     packet_type_stats,
 )
 
-INLINE_EVENT_RUNS = 1 << 20
-
 
 def type_texts(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Missing types and flashbacks of each capture as text, in id order.
@@ -51,40 +49,21 @@ def type_texts(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     )
 
 
-def event_texts(parts: DataFrame, inline_runs: int = INLINE_EVENT_RUNS) -> DataFrame:
-    """Event runs per capture and, up to ``inline_runs`` of them, their codes.
-
-    Longer logs stay in the parts of ``event_sequence``, where no row grows
-    with the capture; their text here is NULL.
-    """
-    counts = parts.groupBy("capture_id").agg(F.sum("n_codes").alias("event_runs"))
-    short = counts.where(F.col("event_runs") <= inline_runs).select("capture_id")
-    texts = (
-        parts.join(short, "capture_id", "left_semi")
-        .groupBy("capture_id")
-        .agg(
-            F.array_join(
-                F.sort_array(F.collect_list(F.struct("part", "sequence")))["sequence"], " "
-            ).alias("events")
-        )
-    )
-    return counts.join(texts, "capture_id", "left")
-
-
 def capture_summary(
     manifest: DataFrame,
     datagrams: DataFrame,
     packets: DataFrame,
     chunk_bits: int = CHUNK_BITS,
-    inline_runs: int = INLINE_EVENT_RUNS,
 ) -> DataFrame:
     """All facts of a capture in one row, for every capture of the manifest.
 
     ``datagrams`` has ``capture_id, size`` and includes runts. A capture with
     no valid packet has status ``no_packets``: its datagrams and bytes are
-    still counted, all else is NULL.
+    still counted, all else is NULL. Event codes are counted here and listed,
+    in rows of bounded size, by ``event_sequence``.
     """
-    events = event_texts(event_sequence(event_runs(packets, chunk_bits), chunk_bits), inline_runs)
+    runs = event_runs(packets, chunk_bits).groupBy("capture_id")
+    events = runs.agg(F.count(F.lit(1)).alias("event_runs"))
 
     summary = manifest.select("capture_id")
     for part in (
@@ -110,9 +89,6 @@ def capture_summary(
             "megabytes": F.coalesce("total_bytes", F.lit(0)) / F.lit(1e6),
             "missing": if_any(F.col("missing"), ""),
             "flashbacks": if_any(F.col("flashbacks"), ""),
-            "events": F.when(F.col("event_runs").isNull(), if_any(F.lit(None), "")).otherwise(
-                F.col("events")
-            ),
             "event_runs": if_any(F.col("event_runs"), 0),
         }
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions import is_datagram, is_valid, megabytes, rate, size_text
@@ -13,6 +13,7 @@ from wiretally.operators.rates import (
     new_sessions,
     packet_rates,
     window_start,
+    with_relative_window,
     with_window,
 )
 
@@ -26,6 +27,7 @@ def interval_report(
     packets: DataFrame,
     seconds: float = 2.0,
     block_bits: int = BLOCK_BITS,
+    relative: bool = False,
 ) -> DataFrame:
     """Per capture, window and type seen so far: totals since start and rate.
 
@@ -34,24 +36,35 @@ def interval_report(
     window of the first valid packet to that of the last datagram. ``uptime``
     is the time from the first valid packet to the end of the window.
 
+    Windows count from the epoch, which needs ``recv_ts``; captures without a
+    clock anchor are then left out, and ``unanchored_captures`` lists them. With
+    ``relative`` they count from the capture's first valid packet by its own
+    clock, ``recv_mono``, so that every capture is reported.
+
     Types and the capture as a whole go through one dense running sum, as rows
     of the same keys. The capture's numbers then reach its types by a window
     over the at most 257 rows of one capture and window.
     """
-    d = with_window(datagrams.where(is_datagram(F.col("size"))), seconds)
-    p = with_window(packets.where(is_valid(F.col("size"))), seconds)
-
-    width = F.lit(round(seconds * 1_000_000))
+    d = datagrams.where(is_datagram(F.col("size")))
+    p = packets.where(is_valid(F.col("size")))
+    ends = F.col("window_index") + 1
+    if relative:
+        d, p = with_relative_window(d, seconds, p), with_relative_window(p, seconds)
+        started, uptime = F.lit(0), ends * F.lit(float(seconds))
+    else:
+        d, p = with_window(d, seconds), with_window(p, seconds)
+        width = F.lit(round(seconds * 1_000_000))
+        started, uptime = F.unix_micros("recv_ts"), (ends * width - F.col("_started")) / F.lit(1e6)
     seen = F.filter("_steps", lambda s: s["first"] <= F.col("window_index"))
     dense = dense_running_sums(
-        _spans(d, p),
+        _spans(d, p, started),
         _deltas(d, p, seconds),
         TYPE_KEYS,
         "window_index",
         VALUES,
         {
             "sizes": size_text(F.transform(seen, lambda s: s["size"])),
-            "uptime": ((F.col("window_index") + 1) * width - F.col("_started")) / F.lit(1e6),
+            "uptime": uptime,
             "is_partial": F.col("window_index") == F.col("hi"),
         },
         block_bits,
@@ -65,7 +78,7 @@ def interval_report(
     rows = dense.select(
         "capture_id",
         "window_index",
-        window_start(seconds).alias("window_start"),
+        *([] if relative else [window_start(seconds).alias("window_start")]),
         "is_partial",
         "uptime",
         megabytes(of_capture("bytes_total")).alias("megabytes"),
@@ -78,7 +91,7 @@ def interval_report(
     return with_packet_name(rows.where(F.col("packet_id") != WHOLE_CAPTURE))
 
 
-def _spans(d: DataFrame, p: DataFrame) -> DataFrame:
+def _spans(d: DataFrame, p: DataFrame, started: Column) -> DataFrame:
     """First and last window of every type and of the capture as a whole.
 
     A type's sizes, each with its first window, fit one row: a datagram has at
@@ -97,7 +110,7 @@ def _spans(d: DataFrame, p: DataFrame) -> DataFrame:
     valid_seq = F.when(is_valid(F.col("size")), F.col("seq"))
     bounds = d.groupBy("capture_id").agg(
         F.max("window_index").alias("hi"),
-        F.min_by(F.unix_micros("recv_ts"), valid_seq).alias("_started"),
+        F.min_by(started, valid_seq).alias("_started"),
     )
     return firsts.join(bounds, "capture_id")
 
@@ -112,9 +125,10 @@ def _deltas(d: DataFrame, p: DataFrame, seconds: float) -> DataFrame:
         (packet_rates(p, seconds).select(*TYPE_KEYS, "window_index", "n"), "n"),
         (received.select("capture_id", whole, "window_index", "bytes"), "bytes"),
         (
-            new_sessions(p).select(
-                "capture_id", whole, "window_index", F.lit(1).alias("sessions")
-            ),
+            new_sessions(p)
+            .groupBy("capture_id", "window_index")
+            .agg(F.count(F.lit(1)).alias("sessions"))
+            .select("capture_id", whole, "window_index", "sessions"),
             "sessions",
         ),
     ]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wiretally.functions import size_text
 from wiretally.operators.names import with_packet_name
 from wiretally.operators.ordering import CHUNK_BITS
-from wiretally.operators.stats import packet_type_stats
+from wiretally.operators.stats import packet_type_stats, reversal_counts
 
 
 def type_summary(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
@@ -21,8 +21,6 @@ def type_summary(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
 def flashbacks(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """The types with reversals, by name, or by id when the catalog lacks them."""
     return with_packet_name(
-        packet_type_stats(packets, chunk_bits)
-        .where(F.col("backwards") > 0)
-        .select("capture_id", "packet_id", "backwards"),
+        reversal_counts(packets, chunk_bits).where(F.col("backwards") > 0),
         default_to_id=True,
     )

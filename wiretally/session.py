@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -20,6 +21,7 @@ def build_session(app: str = "wiretally", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(STATE_STORE, ROCKSDB_PROVIDER)
     )
     if master:
         builder = builder.master(master)
@@ -34,6 +36,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_rocksdb(spark: SparkSession) -> SparkSession:
+    """Keep stream state in RocksDB, for sessions that ``build_session`` did not make."""
+    spark.conf.set(STATE_STORE, ROCKSDB_PROVIDER)
+    return spark
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for rows that are few now and many after they are opened.
 

@@ -26,6 +26,16 @@ def with_recv_ts(df: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def unanchored_captures(stamped: DataFrame) -> DataFrame:
+    """Captures without a wall clock, and their rows, for batch or a stream.
+
+    Windows from the epoch leave them out; windows relative to the first packet
+    do not.
+    """
+    lost = stamped.where("recv_ts IS NULL").groupBy("capture_id")
+    return lost.agg(F.count(F.lit(1)).alias("n"))
+
+
 def approximate_anchors(packets_raw: DataFrame, files: DataFrame) -> DataFrame:
     """Anchors for captures without a manifest, flagged ``approximate``.
 

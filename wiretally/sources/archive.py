@@ -19,6 +19,9 @@ def write_archive(
 ) -> None:
     """Archive datagrams before any validation, runts included.
 
+    Rows that report damage hold no datagram and are not archived; ``damage_in``
+    and ``capture_damage`` keep them.
+
     Rows from capture logs already lie together by capture, so by default
     nothing moves. ``cluster`` first rebalances scattered rows by capture and
     chunk of the arrival order: files come out few and of even size, since

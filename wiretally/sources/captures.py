@@ -100,11 +100,84 @@ def read_packets(
     """``packets`` of all logs under ``path``, framed and decoded in one pass.
 
     Skips the way back through payload rows: only header columns leave the
-    Python workers. Runts and damaged tails leave no row.
+    Python workers. Runts and damaged tails leave no row; ``capture_damage``
+    reports the tails.
     """
     return frame_files(open_files(spark.read, path, capture_id_type), headers_only=True)
 
 
+def damage_schema(capture_id: T.StructField) -> T.StructType:
+    numbers = [T.StructField(n, T.LongType()) for n in ("segment", "record", "byte", "unread_bytes")]
+    return T.StructType([capture_id, *numbers, T.StructField("problem", T.StringType())])
+
+
+def frame_damage(files: DataFrame) -> DataFrame:
+    """Where logs end before their file does, for a batch or stream of files.
+
+    ``(capture_id, segment, record, byte, unread_bytes, problem)``: the number
+    of the record that cannot be read, where it begins, and the bytes from
+    there to the end of the file. Readers of packets alone have no row to put
+    this in; run this beside them over the same files.
+    """
+    files = files.select("capture_id", "segment", "content")
+    schema = damage_schema(files.schema["capture_id"])
+    names = schema.fieldNames()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                data = memoryview(batch.column(2)[i].as_buffer())
+                record = batch.column(1)[i].as_py()
+                problem, end = None, 0
+                if len(data):
+                    for offsets, end, problem in record_batches(data, 0, len(data)):
+                        record += len(offsets)
+                if problem:
+                    numbers = [record, end, len(data) - end]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, 1),
+                            batch.column(1).slice(i, 1),
+                            *[pa.array([x], pa.int64()) for x in numbers],
+                            pa.array([problem]),
+                        ],
+                        names,
+                    )
+
+    return files.mapInArrow(find, schema)
+
+
+def capture_damage(
+    spark: SparkSession, path: str, capture_id_type: str | None = None
+) -> DataFrame:
+    """The damage report of all logs under ``path``; see ``frame_damage``."""
+    return frame_damage(open_files(spark.read, path, capture_id_type))
+
+
+def damage_in(packets_raw: DataFrame, files: DataFrame) -> DataFrame:
+    """The damage report of logs already framed, from their error rows.
+
+    For readers that keep those rows, ``read_captures`` and
+    ``read_split_captures``; ``files`` is their listing.
+    """
+    errors = packets_raw.where("error IS NOT NULL").select(
+        "capture_id",
+        "segment",
+        F.col("seq").alias("record"),
+        F.regexp_extract("error", r"at byte (\d+)$", 1).cast("bigint").alias("byte"),
+        F.regexp_extract("error", "^(.*) at byte", 1).alias("problem"),
+    )
+    lengths = files.select("capture_id", "segment", "length")
+    return errors.join(lengths, ["capture_id", "segment"]).select(
+        "capture_id",
+        "segment",
+        "record",
+        "byte",
+        (F.col("length") - F.col("byte")).alias("unread_bytes"),
+        "problem",
+    )
+
+
 def raw_schema(capture_id: T.StructField, headers_only: bool) -> T.StructType:
     fields = [capture_id, T.StructField("segment", T.LongType()), *RAW_COLUMNS]
     if headers_only:

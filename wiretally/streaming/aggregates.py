@@ -34,14 +34,31 @@ def stream_packet_rates(
     )
 
 
-def stream_sessions(packets: DataFrame) -> DataFrame:
-    """Distinct sessions per capture, exact, for ``update`` or ``complete``.
+def stream_sessions(packets: DataFrame, late_by: str | None = None) -> DataFrame:
+    """Distinct sessions per capture, for ``update`` or ``complete``.
 
     Duplicates drop by (capture, session), so no task sees a whole capture.
+    Without ``late_by`` the count is exact and every session ever seen is kept.
+    With it, ``packets`` need ``recv_ts`` and a session is forgotten once its
+    first packet is that much older than the newest of the query: state stays
+    bounded, and a session that lasts longer than that counts again.
     """
-    return (
-        packets.select("capture_id", "session_uid")
-        .dropDuplicates(["capture_id", "session_uid"])
-        .groupBy("capture_id")
-        .agg(F.count(F.lit(1)).alias("sessions"))
+    keys = ["capture_id", "session_uid"]
+    if late_by:
+        timed = packets.select(*keys, "recv_ts").withWatermark("recv_ts", late_by)
+        distinct = timed.dropDuplicatesWithinWatermark(keys)
+    else:
+        distinct = packets.select(*keys).dropDuplicates(keys)
+    return distinct.groupBy("capture_id").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+def stream_type_stats(packets: DataFrame) -> DataFrame:
+    """Count, bytes and sizes per capture and type so far, for ``update`` or ``complete``.
+
+    State is a row per type; a type has at most as many sizes as a datagram.
+    """
+    return packets.groupBy("capture_id", "packet_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("size").cast("bigint")).alias("bytes"),
+        F.sort_array(F.collect_set("size")).alias("sizes"),
     )

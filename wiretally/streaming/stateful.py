@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wiretally.functions import event_code_key
 from wiretally.operators.sequence import event_packets
-from wiretally.session import ROCKSDB_PROVIDER
+from wiretally.session import ROCKSDB_PROVIDER, STATE_STORE
 
 EDGE_LANE = -1
 
@@ -90,7 +90,8 @@ def _link(
     ttl_ms: int | None,
 ) -> DataFrame:
     """Rows whose value differs from (or falls below) the one before, per key."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    if rows.sparkSession.conf.get(STATE_STORE, "") != ROCKSDB_PROVIDER:
+        raise ValueError(f"set {STATE_STORE} to {ROCKSDB_PROVIDER}, as build_session does")
     columns = [*keys, "segment", "seq", "value", *extra]
     rows = rows.select(*columns)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
