@@ -31,7 +31,7 @@ RANGES = 4
 _STEP = 1 << 16
 
 
-def _terms(word: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def terms(word: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every run of ``width`` words, of all words in shorter rows."""
     if not len(word):
         return row, word
@@ -48,14 +48,17 @@ def _terms(word: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, n
     return row[begins], mix(total)
 
 
-def _votes(row: np.ndarray, term: np.ndarray, n_rows: int) -> np.ndarray:
-    """Fingerprints of rows, given their terms with repeats."""
+def distinct_terms(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each row's distinct terms, rows ascending, and their counts."""
     marked = mix(term ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     _, first, count = np.unique(marked, return_index=True, return_counts=True)
     order = np.argsort(first)
-    # In eighths, so that sums are exact and equal texts get equal fingerprints.
-    first, weight = first[order], np.round(8 + 8 * np.log2(count[order])).astype(np.float32)
-    row, term = row[first], term[first]
+    return row[first[order]], term[first[order]], count[order]
+
+
+def votes(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+    """Fingerprints of rows from their terms' hashes and whole-number weights."""
+    weight = weight.astype(np.float32)
     balance = np.zeros((n_rows, BITS), np.float64)
     for lo in range(0, len(row), _STEP):
         part = slice(lo, lo + _STEP)
@@ -70,8 +73,9 @@ def fingerprint_texts(texts: pa.Array, width: int = TERM_WORDS) -> np.ndarray:
     """64-bit fingerprints. Words are cut at ASCII white space, A-Z lowered; none give 0."""
     found = np.zeros(len(texts), np.uint64)
     for lo, hi, _, w in sliced_words(texts, 1 << 20):
-        row, term = _terms(w.hash, w.row, width)
-        found[lo:hi] = _votes(row, term, hi - lo)
+        row, term, count = distinct_terms(*terms(w.hash, w.row, width))
+        # In eighths, so that sums are exact and equal texts get equal fingerprints.
+        found[lo:hi] = votes(row, term, np.round(8 + 8 * np.log2(count)), hi - lo)
     return found
 
 
