@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wiretally.operators import sequence, stats
+from wiretally.plans.capture_summary import capture_summary
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,31 @@ def test_aggregates_stay_hash_based(packets):
         sequence.event_runs(packets),
     ):
         assert "SortAggregate" not in plan_of(df)
+
+
+def test_summary_scans_each_table_a_few_times_at_most(packets):
+    full = packets.selectExpr(
+        "*",
+        "cast(seq AS double) AS recv_mono",
+        "cast(seq % 7 AS decimal(20, 0)) AS session_uid",
+        *[f"2023 AS {f}" for f in ("packet_format", "game_year", "game_major", "game_minor", "player_car")],
+    )
+    manifest = full.sparkSession.createDataFrame([(0,), (1,)], "capture_id int")
+    found = capture_summary(manifest, full, full, 8)
+    assert plan_of(found).count("FileScan") <= 4
+    rows = {r["capture_id"]: r for r in found.collect()}
+    runs = sequence.event_runs(full, 8).groupBy("capture_id").count().collect()
+    assert {r[0]: r[1] for r in runs if r[0] in rows} == {c: r["event_runs"] for c, r in rows.items()}
+    assert all(r["sessions"] == 7 for r in rows.values())
+
+
+def test_no_join_needs_a_broadcast(packets):
+    spark = packets.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = stats.reversal_counts(packets, 10)
+        plan = plan_of(counts)
+        assert "BroadcastExchange" not in plan and "sizes" not in plan and plan.count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

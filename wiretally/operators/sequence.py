@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions import event_code_key, is_event
@@ -56,6 +56,38 @@ def event_runs(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     )
 
 
+def event_run_counts(packets: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Event runs per capture, without listing them.
+
+    Chunks of the arrival order fold to the changes inside and to their first
+    and last code; a run also begins where a chunk starts with another code
+    than the one before ended on.
+    """
+    chunk_keys = ["capture_id", "_chunk"]
+    inside = Window.partitionBy(*chunk_keys).orderBy("seq")
+    events = event_packets(packets).select(
+        "capture_id",
+        "seq",
+        event_code_key(F.col("code")).alias("_key"),
+        F.shiftright("seq", chunk_bits).alias("_chunk"),
+    )
+    chunks = (
+        events.withColumn("_change", F.col("_key") != F.lag("_key").over(inside))
+        .groupBy(*chunk_keys)
+        .agg(
+            F.count_if("_change").alias("_changes"),
+            F.min_by("_key", "seq").alias("_first"),
+            F.max_by("_key", "seq").alias("_last"),
+        )
+    )
+    order = Window.partitionBy("capture_id").orderBy("_chunk")
+    begins = F.coalesce((F.col("_first") != F.lag("_last").over(order)).cast("bigint"), F.lit(1))
+    linked = chunks.withColumn("_begins", begins)
+    return linked.groupBy("capture_id").agg(
+        F.sum(F.col("_changes") + F.col("_begins")).alias("event_runs")
+    )
+
+
 def event_sequence(runs: DataFrame, part_bits: int = CHUNK_BITS) -> DataFrame:
     """The codes of a capture in order, joined by a space, in parts.
 

@@ -177,3 +177,29 @@ def capture_facts(packets: DataFrame) -> DataFrame:
         )
         .withColumn("format_ok", is_expected_format(F.col("packet_format")))
     )
+
+
+def capture_facts_and_sessions(packets: DataFrame) -> DataFrame:
+    """``capture_facts`` with ``sessions``, from one pass over the packets.
+
+    Packets first fold per session, so that distinct sessions are counted
+    without a second pass.
+    """
+    earliest = (*FIRST_FACTS, "recv_mono")
+    by_session = packets.groupBy("capture_id", "session_uid").agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.max("recv_mono").alias("_last"),
+        F.min("recv_mono").alias("_first"),
+        F.min("seq").alias("seq"),
+        *[F.min_by(f, "seq").alias(f) for f in earliest],
+    )
+    return (
+        by_session.groupBy("capture_id")
+        .agg(
+            F.sum("packets").alias("packets"),
+            F.count("session_uid").alias("sessions"),
+            (F.max("_last") - F.min("_first")).alias("uptime"),
+            *[F.min_by(f, "seq").alias(f) for f in earliest],
+        )
+        .withColumn("format_ok", is_expected_format(F.col("packet_format")))
+    )

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from wiretally.layout import PACKET_NAMES, UNKNOWN_NAME
 from wiretally.operators.names import packet_name
 from wiretally.operators.ordering import CHUNK_BITS
-from wiretally.operators.sequence import event_runs
+from wiretally.operators.sequence import event_run_counts
 from wiretally.operators.stats import (
-    capture_facts,
-    capture_sessions,
+    capture_facts_and_sessions,
     capture_totals,
     packet_type_stats,
 )
@@ -62,16 +61,13 @@ def capture_summary(
     still counted, all else is NULL. Event codes are counted here and listed,
     in rows of bounded size, by ``event_sequence``.
     """
-    runs = event_runs(packets, chunk_bits).groupBy("capture_id")
-    events = runs.agg(F.count(F.lit(1)).alias("event_runs"))
 
     summary = manifest.select("capture_id")
     for part in (
         capture_totals(datagrams).drop("megabytes"),
-        capture_facts(packets).drop("seq", "recv_mono"),
-        capture_sessions(packets),
+        capture_facts_and_sessions(packets).drop("recv_mono"),
         type_texts(packets, chunk_bits),
-        events,
+        event_run_counts(packets, chunk_bits),
     ):
         summary = summary.join(part, "capture_id", "left")
 
