@@ -180,7 +180,7 @@ def mixed(
 ) -> DataFrame:
     """``docs`` in training order: a row per copy, its columns and ``position``.
 
-    Rows are range-sorted by position; documents that the mix does not reach
+    A column of that name is replaced. Rows are range-sorted by position; documents that the mix does not reach
     are not in it. Rows that repeat both id and text count as often as they
     stand in ``docs``.
     """
@@ -190,5 +190,5 @@ def mixed(
     text_hash = F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")
     keyed = docs.withColumn("_row_key", F.struct(F.col(id_col).alias("id"), text_hash))
     one_each = keyed.dropDuplicates(["_row_key"])
-    placed = one_each.join(places, "_row_key").drop("_row_key")
+    placed = one_each.drop("position").join(places, "_row_key").drop("_row_key")
     return placed.withColumnRenamed("_position", "position").orderBy("position", id_col)
