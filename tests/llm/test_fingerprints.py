@@ -60,7 +60,10 @@ def test_query_equals_plain_votes(spark):
     docs = {i: t for i, t in docs.items()}
     found = queries()["op1_document_fingerprints"](spark, SF_DIR).collect()
     assert len(found) == len(docs)
-    assert {r.doc_id: tuple(r)[1:] for r in found} == expected(docs)
+    assert {r.doc_id: tuple(r)[1:7] for r in found} == expected(docs)
+    fps = {r.doc_id: int(r.fingerprint, 16) for r in found}
+    near = {i: sum((x ^ y).bit_count() <= 3 for y in fps.values()) for i, x in fps.items() if i % 20 == 0}
+    assert {r.doc_id: r.n_near for r in found if r.n_near is not None} == near
 
 
 def test_edge_rows(spark):

@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.tokens import mix, sliced_words, utf8
@@ -141,6 +141,21 @@ def within_radius(
     return pairs.distinct()
 
 
+def with_near_counts(found: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """Adds ``n_near`` to rows with ``fp`` in hex: how many rows lie within the radius.
+
+    Rows where ``asked`` holds are looked up among all rows, themselves
+    included; the others have null.
+    """
+    number = F.conv("fp", 16, -10).cast("long")
+    copies = found.groupBy(number.alias("fp")).agg(F.count("*").alias("n"))
+    chosen, rest = found.where(asked), found.where(~asked | asked.isNull())
+    near = within_radius(chosen.select(number.alias("fp")), copies, radius)
+    near = near.join(copies, "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
+    counted = chosen.withColumn("query", number).join(near, "query", "left").drop("query")
+    return counted.unionByName(rest.withColumn("n_near", F.lit(None).cast("long")))
+
+
 class _Place(NamedTuple):
     """Where a document goes: code 2k for range k, 2k + 1 behind it as its follower."""
 

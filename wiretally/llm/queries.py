@@ -19,6 +19,7 @@ from wiretally.llm import (
     pii,
     quality,
 )
+from wiretally.llm.storage import durable
 
 #: Rows of an Arrow batch: long texts make batches large before rows do.
 ARROW_ROWS = "1000"
@@ -35,6 +36,8 @@ def fold(id_col: str = "doc_id"):
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+    found = durable(found, "fingerprints")
+    found = fingerprints.with_near_counts(found, F.col("id") % 20 == 0)
     return found.select(
         F.col("id").alias("doc_id"),
         "n_chars",
@@ -43,6 +46,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("edited_fp").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "n_near",
     )
 
 
