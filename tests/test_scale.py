@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wiretally.operators import sequence, stats
+from wiretally.operators.lookup import join_per_capture
 from wiretally.plans.capture_summary import capture_summary
 
 
@@ -124,3 +125,18 @@ def test_no_join_needs_a_broadcast(packets):
         assert "BroadcastExchange" not in plan and "sizes" not in plan and plan.count("FileScan") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_hot_capture_is_spread_when_facts_are_not_broadcast(packets):
+    spark = packets.sparkSession
+    facts = spark.range(32).selectExpr("cast(id AS int) AS capture_id", "id * 10 AS fact")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = join_per_capture(packets, facts)
+        assert re.search(r"Exchange hashpartitioning\(capture_id#\d+, _salt#\d+", plan_of(salted))
+        sent = join_per_capture(packets, facts, captures=32)
+        assert "BroadcastHashJoin" in plan_of(sent)
+        assert salted.exceptAll(sent).count() == 0 and salted.count() == packets.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions import is_valid, rate
+from wiretally.operators.lookup import join_per_capture
 from wiretally.operators.ordering import BLOCK_BITS, dense_running_sums, running_sums
 
 TYPE_KEYS = ["capture_id", "packet_id"]
@@ -38,7 +39,7 @@ def with_relative_window(
     valid = df if packets is None else packets
     started = valid.groupBy("capture_id").agg(F.min_by("recv_mono", "seq").alias("_started"))
     return (
-        df.join(started, "capture_id")
+        join_per_capture(df, started, "inner")
         .withColumn(
             "window_index",
             F.floor((F.col("recv_mono") - F.col("_started")) / F.lit(float(seconds))),

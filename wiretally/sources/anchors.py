@@ -9,18 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wiretally.operators.lookup import BROADCAST_CAPTURES, join_per_capture
+
 
 def with_recv_ts(df: DataFrame, manifest: DataFrame) -> DataFrame:
     """Add ``recv_ts``; NULL for captures the manifest does not anchor.
 
-    The manifest (``capture_id, anchor_us``) has a row per capture. Spark
-    broadcasts it when its size allows and else joins by shuffle, splitting
-    hot captures at run time.
+    The manifest (``capture_id, anchor_us``) has a row per capture. It is
+    counted: a small one is broadcast, with a larger one rows shuffle by capture
+    and salt.
     """
     anchors = manifest.select("capture_id", "anchor_us")
+    captures = anchors.limit(BROADCAST_CAPTURES + 1).count()
     micros = F.col("anchor_us") + F.round(F.col("recv_mono") * F.lit(1e6)).cast("bigint")
     return (
-        df.join(anchors, "capture_id", "left")
+        join_per_capture(df, anchors, "left", captures)
         .withColumn("recv_ts", F.timestamp_micros(micros))
         .drop("anchor_us")
     )
