@@ -56,6 +56,15 @@ def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes).view(kind)[:, 0] if n else np.zeros(0, kind)
 
 
+def packed_keys(keys: np.ndarray, least: int) -> bytes:
+    """Ascending keys, by the steps from ``least`` up."""
+    return packed(np.diff(keys, prepend=np.uint64(least)))
+
+
+def unpacked_keys(data: bytes, n: int, least: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64) + np.uint64(least)
+
+
 class Chunk(NamedTuple):
     """Word numbers of consecutive documents, each ended by the end token."""
 
@@ -162,6 +171,11 @@ _CHUNK_COLUMNS = ["chunk", "n_words", "n_tokens", "vocabulary", "words", "length
 _COUNTS = "chunk long, part int, n int, counted binary, kept binary"
 
 
+def _least(part: int, parts: int) -> int:
+    """The smallest key of a part."""
+    return part % parts << (65 - parts.bit_length())
+
+
 def _requests(parts: int):
     """Keys of each chunk by part, with its own counts of all and of not held-out training tokens."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
@@ -183,7 +197,7 @@ def _requests(parts: int):
                     for p in np.unique(part).tolist():
                         pick = order[cuts[p] : cuts[p + 1]]
                         out.append((
-                            row["chunk"], first + p, len(pick), keys[pick].tobytes(),
+                            row["chunk"], first + p, len(pick), packed_keys(keys[pick], _least(p, parts)),
                             packed(counted[pick]), packed(kept[pick]),
                         ))
                 yield pa.RecordBatch.from_arrays(
@@ -209,7 +223,9 @@ def _served(parts: int):
         read = lambda c: np.concatenate(
             [unpacked(b, n, np.int64) for b, n in zip(table.column(c).to_pylist(), size, strict=True)]
         )
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        least = _least(table.column("part")[0].as_py(), parts)
+        stored = zip(table.column("keys").to_pylist(), size, strict=True)
+        keys = np.concatenate([unpacked_keys(b, n, least) for b, n in stored])
         _, index = np.unique(keys, return_inverse=True)
         sums = [np.zeros(int(index.max()) + 1, np.int64) for _ in range(2)]
         for total, name in zip(sums, ("counted", "kept"), strict=True):
@@ -245,31 +261,60 @@ class Corpus(NamedTuple):
     docs: tuple[int, int]
 
 
+_ANSWERED = (
+    "chunk long, n_words int, n_pairs int, n_tokens int, words binary, lengths binary, roles binary, "
+    "counted_words binary, kept_words binary, counted_pairs binary, kept_pairs binary, types array<long>"
+)
+
+
 def _answered_rows(replies: pa.Table, chunks: pa.Table) -> pa.Table:
-    """The chunk's row with the counts of its words and pairs in order of their keys."""
-    columns = [c for c in chunks.column_names]
+    """The chunk's row with the counts of its words and distinct pairs in its own order."""
     order = np.argsort(replies.column("part").to_numpy(), kind="stable")
     replies = replies.take(pa.array(order))
-    made = {
-        "n": pa.array([replies.column("n").to_pylist()], pa.list_(pa.int32())),
-        "counted": pa.array([replies.column("counted").to_pylist()], pa.list_(pa.binary())),
-        "kept": pa.array([replies.column("kept").to_pylist()], pa.list_(pa.binary())),
+    size = replies.column("n").to_pylist()
+    flat = {
+        name: np.concatenate(
+            [unpacked(b, n, np.int64) for b, n in zip(replies.column(name).to_pylist(), size, strict=True)]
+        )
+        for name in ("counted", "kept")
     }
     if not chunks.num_rows:  # the totals' own group
-        blank = {"chunk": pa.array([_STATS], pa.int64())}
-        rest = {c: pa.nulls(1, chunks.schema.field(c).type) for c in columns if c != "chunk"}
-        return pa.table(blank | rest | made)
-    return pa.table({c: chunks.column(c) for c in columns} | made)
+        types = [int(flat[c].sum()) for c in ("counted", "kept")]
+        made = {"chunk": pa.array([_STATS]), "types": pa.array([types])}
+        for name in _ANSWERED_COLUMNS[1:-1]:
+            made[name] = pa.nulls(1, pa.int32() if name.startswith("n_") else pa.binary())
+        made["ids"] = pa.nulls(1, chunks.schema.field("ids").type)
+        return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
+    row = chunks.drop_columns(["ids"]).to_pylist()[0]
+    own = _chunk(row)
+    _, _, keys = own.pairs()
+    n = len(own.vocabulary)
+    made = {c: chunks.column(c) for c in ("chunk", "n_words", "n_tokens", "words", "lengths", "roles", "ids")}
+    made["n_pairs"] = pa.array([len(keys)], pa.int32())
+    made["types"] = pa.nulls(1, pa.list_(pa.int64()))
+    for name, counts in flat.items():
+        words, pairs = np.empty(n, np.int64), np.empty(len(keys), np.int64)
+        words[np.argsort(own.vocabulary)] = counts[:n]
+        pairs[np.argsort(keys)] = counts[n:]
+        made[f"{name}_words"] = pa.array([packed(words)], pa.binary())
+        made[f"{name}_pairs"] = pa.array([packed(pairs)], pa.binary())
+    return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
 
 
-def _counts(row: dict, name: str, own: Chunk, pair_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of the chunk's words and of its distinct pairs, in the chunk's own order."""
-    flat = np.concatenate([unpacked(b, n, np.int64) for b, n in zip(row[name], row["n"], strict=True)])
-    n = len(own.vocabulary)
-    words, pairs = np.empty(n, np.int64), np.empty(len(pair_keys), np.int64)
-    words[np.argsort(own.vocabulary)] = flat[:n]
-    pairs[np.argsort(pair_keys)] = flat[n:]
-    return words, pairs
+_ANSWERED_COLUMNS = [part.split()[0] for part in _ANSWERED.split(", ")]
+
+
+def _answered_chunk(row: dict, name: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """The chunk, whose hashes have done their work, and its words' and pairs' counts."""
+    roles = np.frombuffer(row["roles"], np.int8)
+    own = Chunk(
+        np.zeros(row["n_words"], np.uint64),
+        unpacked(row["words"], row["n_tokens"], np.int32),
+        unpacked(row["lengths"], len(roles), np.int32),
+        roles,
+    )
+    words = unpacked(row[f"{name}_words"], row["n_words"], np.int64)
+    return own, words, unpacked(row[f"{name}_pairs"], row["n_pairs"], np.int64)
 
 
 def _estimates(
@@ -294,9 +339,8 @@ def _tallies(corpus: Corpus):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = _chunk(row)
-                codes, index, keys = own.pairs()
-                words, pairs = _counts(row, "kept", own, keys)
+                own, words, pairs = _answered_chunk(row, "kept")
+                codes, index, _ = own.pairs()
                 bucket, two, one = _estimates(own, codes, words, pairs, corpus.tokens[1], corpus.docs[1])
                 times = np.bincount(index[own.token_roles() == HELD], minlength=len(codes))
                 cell = (bucket << 32) | (_level(two) << 16) | _level(one)
@@ -345,9 +389,8 @@ def _scores(corpus: Corpus, weights: np.ndarray):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                own = _chunk(row)
-                codes, index, keys = own.pairs()
-                words, pairs = _counts(row, "counted", own, keys)
+                own, words, pairs = _answered_chunk(row, "counted")
+                codes, index, _ = own.pairs()
                 bucket, two, one = _estimates(own, codes, words, pairs, corpus.tokens[0], corpus.docs[0])
                 w = weights[bucket]
                 mixed = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (corpus.types[0] + 1)
@@ -389,11 +432,11 @@ def scored(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str
         _requests(parts), "chunk long, part int, n int, keys binary, counted binary, kept binary"
     )
     replies = requests.groupBy("part").applyInArrow(_served(parts), _COUNTS)
-    schema = f"{_ENCODED}, ids array<{kind.simpleString()}>, n array<int>, counted array<binary>, kept array<binary>"
+    schema = f"{_ANSWERED}, ids array<{kind.simpleString()}>"
     answered = replies.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(_answered_rows, schema)
     answered = durable(answered, "answered")
-    totals = answered.where(F.col("chunk") == _STATS).select("counted", "kept").toArrow().to_pylist()
-    types = [sum(int(unpacked(b, 1, np.int64)[0]) for row in totals for b in row[c]) for c in ("counted", "kept")]
+    total = answered.where(F.col("chunk") == _STATS).select("types").first()
+    types = total["types"] if total else [0, 0]
     answered = answered.where(F.col("chunk") != _STATS)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,8 +453,7 @@ def scored(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str
     of = lambda k, c: found[k][c] if k in found else 0
     both = lambda c: (of(COUNTED, c) + of(HELD, c), of(COUNTED, c))
     corpus = Corpus(both("tokens"), (types[0], types[1]), both("docs"))
-    plain = [c for c in answered.columns if c != "ids"]
-    tallies = answered.select(*plain).mapInArrow(_tallies(corpus), "cell long, times long")
+    tallies = answered.select(*_ANSWERED_COLUMNS).mapInArrow(_tallies(corpus), "cell long, times long")
     tallies = tallies.groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").toArrow()
     weights = learned_weights(tallies.column("cell").to_numpy(), tallies.column("times").to_numpy(), corpus.types[1])
     from pyspark.sql.pandas.types import to_arrow_type
