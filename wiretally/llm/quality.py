@@ -192,9 +192,22 @@ def fitted(
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = chosen.mapInArrow(of_batches, f"id {kind}, good int, buckets binary").toArrow()
-    sample = sample.sort_by([("id", "ascending"), ("buckets", "ascending")])
-    rows = [np.frombuffer(b, np.int32) for b in sample.column("buckets").to_pylist()]
-    return fit_model(rows, sample.column("good").to_numpy().astype(np.float64))
+    rows = [row for chunk in sample.column("buckets").chunks for row in _bucket_rows(chunk)]
+    ids = sample.column("id").to_pylist()
+    good = sample.column("good").to_numpy().astype(np.float64)
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i]), int(rows[i].sum())))
+    model = fit_model([rows[i] for i in order], good[order])
+    del rows, sample
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _bucket_rows(column: pa.Array) -> Iterator[np.ndarray]:
+    """The buckets of each row, as views into the column."""
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.int32) if data is not None else np.zeros(0, np.int32)
+    return (values[i // 4 : j // 4] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def _strength(groups: DataFrame) -> tuple[float, float]:
