@@ -45,6 +45,8 @@ _STATS = -1
 
 def packed(values: np.ndarray) -> bytes:
     """Integers by byte planes, compressed: most high bytes are 0."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
@@ -263,48 +265,54 @@ class Corpus(NamedTuple):
 
 _ANSWERED = (
     "chunk long, n_words int, n_pairs int, n_tokens int, words binary, lengths binary, roles binary, "
-    "counted_words binary, kept_words binary, counted_pairs binary, kept_pairs binary, types array<long>"
+    "counted_words binary, counted_pairs binary, n_cells int, cells binary, times binary, types array<long>"
 )
 
 
-def _answered_rows(replies: pa.Table, chunks: pa.Table) -> pa.Table:
-    """The chunk's row with the counts of its words and distinct pairs in its own order."""
-    order = np.argsort(replies.column("part").to_numpy(), kind="stable")
-    replies = replies.take(pa.array(order))
-    size = replies.column("n").to_pylist()
-    flat = {
-        name: np.concatenate(
-            [unpacked(b, n, np.int64) for b, n in zip(replies.column(name).to_pylist(), size, strict=True)]
-        )
-        for name in ("counted", "kept")
-    }
-    if not chunks.num_rows:  # the totals' own group
-        types = [int(flat[c].sum()) for c in ("counted", "kept")]
-        made = {"chunk": pa.array([_STATS]), "types": pa.array([types])}
-        for name in _ANSWERED_COLUMNS[1:-1]:
-            made[name] = pa.nulls(1, pa.int32() if name.startswith("n_") else pa.binary())
-        made["ids"] = pa.nulls(1, chunks.schema.field("ids").type)
+def _answered_rows(kept_tokens: int, kept_docs: int):
+    """The chunk's row with its words' and pairs' counts, and the tally of its held-out pairs."""
+
+    def of_chunk(replies: pa.Table, chunks: pa.Table) -> pa.Table:
+        order = np.argsort(replies.column("part").to_numpy(), kind="stable")
+        replies = replies.take(pa.array(order))
+        size = replies.column("n").to_pylist()
+        flat = {
+            name: np.concatenate(
+                [unpacked(b, n, np.int64) for b, n in zip(replies.column(name).to_pylist(), size, strict=True)]
+            )
+            for name in ("counted", "kept")
+        }
+        if not chunks.num_rows:  # the totals' own group
+            types = [int(flat[c].sum()) for c in ("counted", "kept")]
+            made = {"chunk": pa.array([_STATS]), "types": pa.array([types])}
+            for name in _ANSWERED_COLUMNS[1:-1]:
+                made[name] = pa.nulls(1, pa.int32() if name.startswith("n_") else pa.binary())
+            made["ids"] = pa.nulls(1, chunks.schema.field("ids").type)
+            return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
+        own = _chunk(chunks.drop_columns(["ids"]).to_pylist()[0])
+        codes, index, keys = own.pairs()
+        n = len(own.vocabulary)
+        by_word, by_pair = np.argsort(own.vocabulary), np.argsort(keys)
+        words, pairs = {}, {}
+        for name, counts in flat.items():
+            words[name], pairs[name] = np.empty(n, np.int64), np.empty(len(keys), np.int64)
+            words[name][by_word] = counts[:n]
+            pairs[name][by_pair] = counts[n:]
+        cells, times = _tally(own, codes, index, words["kept"], pairs["kept"], kept_tokens, kept_docs)
+        made = {c: chunks.column(c) for c in ("chunk", "n_words", "n_tokens", "words", "lengths", "roles", "ids")}
+        made |= {"n_pairs": pa.array([len(keys)], pa.int32()), "n_cells": pa.array([len(cells)], pa.int32())}
+        made["types"] = pa.nulls(1, pa.list_(pa.int64()))
+        stored = {"counted_words": words["counted"], "counted_pairs": pairs["counted"], "cells": cells, "times": times}
+        made |= {name: pa.array([packed(values)], pa.binary()) for name, values in stored.items()}
         return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
-    row = chunks.drop_columns(["ids"]).to_pylist()[0]
-    own = _chunk(row)
-    _, _, keys = own.pairs()
-    n = len(own.vocabulary)
-    made = {c: chunks.column(c) for c in ("chunk", "n_words", "n_tokens", "words", "lengths", "roles", "ids")}
-    made["n_pairs"] = pa.array([len(keys)], pa.int32())
-    made["types"] = pa.nulls(1, pa.list_(pa.int64()))
-    for name, counts in flat.items():
-        words, pairs = np.empty(n, np.int64), np.empty(len(keys), np.int64)
-        words[np.argsort(own.vocabulary)] = counts[:n]
-        pairs[np.argsort(keys)] = counts[n:]
-        made[f"{name}_words"] = pa.array([packed(words)], pa.binary())
-        made[f"{name}_pairs"] = pa.array([packed(pairs)], pa.binary())
-    return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
+
+    return of_chunk
 
 
 _ANSWERED_COLUMNS = [part.split()[0] for part in _ANSWERED.split(", ")]
 
 
-def _answered_chunk(row: dict, name: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
+def _answered_chunk(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """The chunk, whose hashes have done their work, and its words' and pairs' counts."""
     roles = np.frombuffer(row["roles"], np.int8)
     own = Chunk(
@@ -313,8 +321,8 @@ def _answered_chunk(row: dict, name: str) -> tuple[Chunk, np.ndarray, np.ndarray
         unpacked(row["lengths"], len(roles), np.int32),
         roles,
     )
-    words = unpacked(row[f"{name}_words"], row["n_words"], np.int64)
-    return own, words, unpacked(row[f"{name}_pairs"], row["n_pairs"], np.int64)
+    words = unpacked(row["counted_words"], row["n_words"], np.int64)
+    return own, words, unpacked(row["counted_pairs"], row["n_pairs"], np.int64)
 
 
 def _estimates(
@@ -333,22 +341,22 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.round(-np.log2(safe) * _FINE), 0).astype(np.int64)
 
 
-def _tallies(corpus: Corpus):
-    """Held-out pairs by context bucket and by level of both estimates."""
+def _tally(
+    own: Chunk, codes: np.ndarray, index: np.ndarray, words: np.ndarray, pairs: np.ndarray, tokens: int, docs: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out pairs by context bucket and by level of both estimates, and how many."""
+    bucket, two, one = _estimates(own, codes, words, pairs, tokens, docs)
+    times = np.bincount(index[own.token_roles() == HELD], minlength=len(codes))
+    cell = (bucket << 32) | (_level(two) << 16) | _level(one)
+    cells, place = np.unique(cell[times > 0], return_inverse=True)
+    return cells, np.bincount(place, times[times > 0], minlength=len(cells)).astype(np.int64)
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own, words, pairs = _answered_chunk(row, "kept")
-                codes, index, _ = own.pairs()
-                bucket, two, one = _estimates(own, codes, words, pairs, corpus.tokens[1], corpus.docs[1])
-                times = np.bincount(index[own.token_roles() == HELD], minlength=len(codes))
-                cell = (bucket << 32) | (_level(two) << 16) | _level(one)
-                cells, place = np.unique(cell[times > 0], return_inverse=True)
-                total = np.bincount(place, times[times > 0], minlength=len(cells)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total)], names=["cell", "times"])
 
-    return of_batches
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = [unpacked(row[c], row["n_cells"], np.int64) for c in ("cells", "times")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["cell", "times"])
 
 
 def learned_weights(cell: np.ndarray, times: np.ndarray, types: int) -> np.ndarray:
@@ -389,7 +397,7 @@ def _scores(corpus: Corpus, weights: np.ndarray):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                own, words, pairs = _answered_chunk(row, "counted")
+                own, words, pairs = _answered_chunk(row)
                 codes, index, _ = own.pairs()
                 bucket, two, one = _estimates(own, codes, words, pairs, corpus.tokens[0], corpus.docs[0])
                 w = weights[bucket]
@@ -433,11 +441,6 @@ def scored(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str
     )
     replies = requests.groupBy("part").applyInArrow(_served(parts), _COUNTS)
     schema = f"{_ANSWERED}, ids array<{kind.simpleString()}>"
-    answered = replies.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(_answered_rows, schema)
-    answered = durable(answered, "answered")
-    total = answered.where(F.col("chunk") == _STATS).select("types").first()
-    types = total["types"] if total else [0, 0]
-    answered = answered.where(F.col("chunk") != _STATS)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,8 +455,14 @@ def scored(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str
     found = {r["role"]: r for r in found.groupBy("role").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
     of = lambda k, c: found[k][c] if k in found else 0
     both = lambda c: (of(COUNTED, c) + of(HELD, c), of(COUNTED, c))
+    rows = _answered_rows(of(COUNTED, "tokens"), of(COUNTED, "docs"))
+    answered = replies.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(rows, schema)
+    answered = durable(answered, "answered")
+    total = answered.where(F.col("chunk") == _STATS).select("types").first()
+    types = total["types"] if total else [0, 0]
+    answered = answered.where(F.col("chunk") != _STATS)
     corpus = Corpus(both("tokens"), (types[0], types[1]), both("docs"))
-    tallies = answered.select(*_ANSWERED_COLUMNS).mapInArrow(_tallies(corpus), "cell long, times long")
+    tallies = answered.select("n_cells", "cells", "times").mapInArrow(_tallies, "cell long, times long")
     tallies = tallies.groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").toArrow()
     weights = learned_weights(tallies.column("cell").to_numpy(), tallies.column("times").to_numpy(), corpus.types[1])
     from pyspark.sql.pandas.types import to_arrow_type
