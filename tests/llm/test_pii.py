@@ -106,3 +106,22 @@ def test_masking_keeps_rows_and_columns(spark):
     assert texts[3:5] == [(3, "", 0), (4, "clean text", 10)]
     assert texts[5][1].startswith("[PHONE]")
     assert pii.mask_personal_data(docs.limit(0)).count() == 0
+
+
+def test_contexts_hold_words_with_digits(spark):
+    rows = [(i, f"line {i}: +1 650 555 {1000 + i} id{i + 10} due") for i in range(12)]
+    rows += [(100, "line 2: 650-555-9999 id99 due"), (101, "\U0001f600" * 300 + " line 7: 650-555-9998 id98")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: [tuple(s) for s in r.spans] for r in pii.personal_data(docs).collect()}
+    assert found[100] == [(8, 3, 20)] and found[101] == [(309, 3, 321)]
+    assert all(len(found[i]) == 1 for i in range(12))
+
+
+def test_patterns_are_the_words_around(spark):
+    text = "é " * 254 + "one t2: 650-555-9999, 2024-01-31 due " + "b " * 300 + "x3"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = {s.value: (s.start, s.patterns) for s in pii.mentions(docs).first().candidates}
+    at = text.index("650")
+    assert found["650-555-9999"] == (at, ["one t0: _", "t0: _ ,"])
+    assert found["2024-01-31"] == (text.index("2024"), ["t0: 000-000-0000, _", "000-000-0000, _ due"])
+    assert found["x3"] == (len(text) - 2, ["b b _"])

@@ -31,6 +31,8 @@ PATTERNS = {
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _CORE = r"[0-9A-Za-z+@](?:\S*[0-9A-Za-z@])?"
 _CONTEXT = 64
+#: Texts are cut into pieces of so many code points, of which a context takes two at most.
+_PIECE = 256
 
 ROUNDS = 3
 #: Known strings that a pattern needs, and the confidence that it and a string need.
@@ -67,8 +69,16 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, "[0-9]", "0")), r"\s+"), lambda w: w != "")
 
 
-def _contexts(before: Column, after: Column) -> Column:
-    """Up to two lexical patterns: the two words before, and one on either side."""
+def _contexts(pieces: Column, start: Column, end: Column) -> Column:
+    """Up to two lexical patterns: the two words before, and one on either side.
+
+    They come from the 64 code points before and after the span, whatever else
+    was found there; at a text's bounds there may be fewer.
+    """
+    piece = lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit(""))
+    first, last = F.floor(start / _PIECE), F.floor(end / _PIECE)
+    before = F.concat(piece(first - 1), F.left(piece(first), (start % _PIECE).cast("int")))
+    after = F.concat(F.substring(piece(last), (end % _PIECE + 1).cast("int"), F.lit(_CONTEXT)), piece(last + 1))
     left = _words(F.right(before, F.lit(_CONTEXT)))
     right = _words(F.left(after, F.lit(_CONTEXT)))
     one, two = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
@@ -80,7 +90,7 @@ def _contexts(before: Column, after: Column) -> Column:
 
 
 def _with_matches(rows: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Adds ``name``: start, end, value and contexts of each match, in code points.
+    """Adds ``name``: start, end and value of each match, in code points.
 
     Spark gives the matches and the gaps between them; positions are running
     sums of their lengths, in blocks, so that the work stays in proportion to
@@ -109,7 +119,6 @@ def _with_matches(rows: DataFrame, name: str, pattern: str) -> DataFrame:
             start.alias("start"),
             (start + F.length(x)).alias("end"),
             x.alias("value"),
-            _contexts(F.get(F.col(gap), i), F.get(F.col(gap), i + 1)).alias("patterns"),
         )
 
     rows = rows.withColumn(name, F.when(any_found, F.transform(m, located)))
@@ -121,7 +130,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``base`` has the spans of the fixed patterns that pass their checks, sorted
     by start and kind; ``candidates`` has words with a digit or an at sign that
-    touch none of them. A null text counts as empty and has neither.
+    touch none of them. Patterns are the words around a span in the text itself,
+    also where those are spans or candidates. A null text counts as empty and
+    has neither.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -129,7 +140,8 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     for kind in KINDS:
         rows = _with_matches(rows, kind, PATTERNS[kind])
-    rows = _with_matches(rows, "candidate", CANDIDATE).drop("text")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
+    rows = _with_matches(rows, "candidate", CANDIDATE).withColumn("pieces", pieces).drop("text")
     none = F.array().cast(
         "array<struct<start:int,kind_no:int,end:int,value:string,patterns:array<string>>>"
     )
@@ -137,24 +149,26 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def spans(no: int, kind: str) -> Column:
         passing = F.filter(kind, lambda s: _passes(kind, s["value"]))
         whole = lambda s: F.struct(
-            s["start"], F.lit(no).alias("kind_no"), s["end"], s["value"], s["patterns"]
+            s["start"], F.lit(no).alias("kind_no"), s["end"], s["value"],
+            _contexts(F.col("pieces"), s["start"], s["end"]).alias("patterns"),
         )
         return F.coalesce(F.transform(passing, whole), none)
 
     base = F.array_sort(F.concat(*[spans(no, kind) for no, kind in enumerate(KINDS)]))
-    rows = rows.select("id", "text_hash", base.alias("base"), "candidate")
+    rows = rows.select("id", "text_hash", base.alias("base"), "candidate", "pieces")
 
     def core(s: Column) -> Column:
         value = F.regexp_extract(s["value"], _CORE, 0)
         start = s["start"] + F.position(value, s["value"]) - 1
-        return F.struct(
-            start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["patterns"]
-        )
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
     free = lambda s: (s["value"] != "") & ~F.exists(
         "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
     )
-    candidates = F.filter(F.transform("candidate", core), free)
+    whole = lambda s: F.struct(
+        s["start"], s["end"], s["value"], _contexts(F.col("pieces"), s["start"], s["end"]).alias("patterns")
+    )
+    candidates = F.transform(F.filter(F.transform("candidate", core), free), whole)
     return rows.select("id", "text_hash", "base", candidates.alias("candidates"))
 
 
