@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import (
+    centroids,
     chat,
     decontaminate,
+    exact_dedup,
     fingerprints,
     interpolation,
     language,
@@ -18,6 +20,7 @@ from wiretally.llm import (
     near_dedup,
     pii,
     quality,
+    resampling,
 )
 from wiretally.llm.storage import durable
 
@@ -144,6 +147,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = resampling.importance_draw(docs, target)
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carried={"text_sha256": digest})
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     built = {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -156,6 +178,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_url_filter": op9_url_filter,
         "op10_personal_data": op10_personal_data,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
     def prepared(build):
@@ -233,5 +258,99 @@ SELECT conv_id, count(*) AS n_turns,
 FROM used GROUP BY conv_id"""
 
 
+_OP11_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+words AS (
+  SELECT kind, id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 's' AS kind, doc_id AS id, text FROM documents
+    UNION ALL SELECT 't', item_id, text FROM benchmark)),
+grams AS (
+  SELECT kind, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram
+  FROM words),
+distinct_grams AS (
+  SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams)),
+bucketed AS (
+  SELECT gram, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: cast('0x' || h[i:i + 1] AS bigint))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM distinct_grams, crc),
+counts AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 's') AS s, count(*) FILTER (WHERE kind = 't') AS t
+  FROM grams JOIN bucketed USING (gram) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::double * (sum(s) OVER () + 10000)::double
+    / ((s + 1)::double * (sum(t) OVER () + 10000)::double))) AS gain
+  FROM counts),
+sums AS (
+  SELECT row, count(*) AS n, sum(gain) AS total
+  FROM grams JOIN bucketed USING (gram) JOIN gains USING (bucket) WHERE kind = 's' GROUP BY row),
+scored AS (
+  SELECT id, row, coalesce(n, 0) AS n_features, coalesce(cast(floor(total / n) AS bigint), 0) AS weight, len(w) AS n_words,
+    cast(floor(-1000 * ln(-ln((cast('0x' || sha256('7:' || coalesce(cast(id AS varchar), ''))[1:8] AS bigint) + 0.5::double)
+      / 4294967296::double))) AS bigint) AS noise
+  FROM words LEFT JOIN sums USING (row) WHERE kind = 's'),
+placed AS (
+  SELECT *, n_words >= 20 AS fits, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, id) AS place,
+    count(*) FILTER (WHERE n_words >= 20) OVER () AS n
+  FROM scored)
+SELECT id AS doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN fits AND place <= 25 * n // 100 THEN place END AS rank
+FROM placed"""
+
+
+_OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """The rounds one after another, each an assignment over all pairs and a mean."""
+
+    def assignment(centroids: str) -> str:
+        return f"""
+  SELECT vec_id, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT vec_id, c, cast(sum((x - m) * (x - m)) AS bigint) AS d
+    FROM cells JOIN {centroids} USING (dim) GROUP BY vec_id, c) GROUP BY vec_id"""
+
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED ({assignment(f"centroid{k - 1}")}),
+means{k} AS (
+  SELECT c, dim, cast(floor(sum(x)::double / count(*)) AS bigint) AS m
+  FROM near{k} JOIN cells USING (vec_id) GROUP BY c, dim),
+centroid{k} AS MATERIALIZED (
+  SELECT c, dim, coalesce(n.m, o.m) AS m FROM centroid{k - 1} AS o LEFT JOIN means{k} AS n USING (c, dim)),""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) AS bigint)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS dim, unnest(v) AS x FROM kept),
+centroid0 AS MATERIALIZED (
+  SELECT c, dim, x AS m FROM cells JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+    QUALIFY c < 16) USING (vec_id)),{"".join(steps)}
+last AS MATERIALIZED ({assignment(f"centroid{rounds}")}),
+digests AS (
+  SELECT c, sha256(string_agg(cast(m AS varchar), ',' ORDER BY dim)) AS centroid_sha256
+  FROM centroid{rounds} GROUP BY c)
+SELECT vec_id, cast(c AS int) AS cluster, d AS distance,
+  cast(sum(d) OVER (PARTITION BY c) AS bigint) AS cluster_inertia, cast(sum(d) OVER () AS bigint) AS inertia,
+  centroid_sha256
+FROM last JOIN digests USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": _OP2_SQL, "op3_chat_formatting": _OP3_SQL}
+    return {
+        "op2_source_mixing": _OP2_SQL,
+        "op3_chat_formatting": _OP3_SQL,
+        "op11_importance_resampling": _OP11_SQL,
+        "op12_exact_dedup": _OP12_SQL,
+        "op13_centroid_clustering": _op13_sql(),
+    }
