@@ -5,6 +5,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
+from itertools import combinations
+
+import pyarrow as pa
+import pytest
 
 from wiretally.llm import decontaminate
 from wiretally.llm.queries import queries
@@ -58,15 +63,47 @@ def test_substitutions_are_tolerated(spark):
     assert len(found & odd) >= 0.97 * len(odd) and not found - odd
 
 
-def test_every_run_of_15_with_3_substitutions_is_hit():
-    from itertools import combinations
-
-    for gone in combinations(range(15), 3):
-        assert any(
-            all(s + k not in gone for k in seed)
-            for seed in decontaminate.SEEDS[:2]
-            for s in range(15 - seed[-1])
-        )
+@pytest.mark.parametrize("n", range(5, 21))
+def test_seeds_meet_every_overlap_that_is_promised(n):
+    window = min(13, n)
+    most = max(window - math.ceil(0.8 * window), n - math.ceil(0.8 * n))
+    seeds = decontaminate.SEEDS if n < decontaminate.SHORT_WORDS else decontaminate.SEEDS[: decontaminate.LONG_SEEDS]
+    for gone in combinations(range(n), most):
+        assert any(all(s + k not in gone for k in seed) for seed in seeds for s in range(n - seed[-1]))
+
+
+def test_short_items(spark):
+    words = [f"item{k}" for k in range(12)]
+    items, rows = [], []
+    for n in range(5, 13):
+        items.append((n, " ".join(words[-n:])))
+        for gone in combinations(range(n), n - math.ceil(0.8 * n)):
+            own = ["other" if k in gone else w for k, w in enumerate(words[-n:])]
+            rows.append((len(rows), n, " ".join(["before", *own, "after"])))
+    docs = spark.createDataFrame(rows, "doc_id long, n int, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_overlaps(docs, bench).collect()}
+    assert found >= {(i, n) for i, n, _ in rows}
+    assert found == {(i, n) for i, _, t in rows for n, item in items if plain_overlap(t, item)}
+
+
+@pytest.mark.parametrize("many", [1, 1 << 16])
+def test_repetitive_texts(monkeypatch, many):
+    """Any number of equal words, and of equal alignments, with the plain result."""
+    monkeypatch.setattr(decontaminate, "_MANY", many)
+    chance = random.Random(9)
+    items = ["a " * 30, "a b " * 20, "x y z " * 9 + "end", " ".join(chance.choices("ab", k=40))]
+    texts = ["a " * 70, "b a " * 30, "z x y " * 12 + "end q", " ".join(chance.choices("ab", k=90)), "a b " * 3, ""]
+    index = decontaminate.index_items(pa.array(range(4)), pa.array(items))
+    found = {(row, item) for row, item, *_ in decontaminate.overlaps(pa.array(texts), index)}
+    assert found == {(r, i) for r, t in enumerate(texts) for i, item in enumerate(items) if plain_overlap(t, item)}
+
+
+def test_a_hundred_thousand_equal_words_take_seconds():
+    index = decontaminate.index_items(pa.array([7]), pa.array(["a " * 50_000]))
+    begun = time.time()
+    assert list(decontaminate.overlaps(pa.array(["a " * 100_000]), index)) == [(0, 0, 50_000, 100_000, 50_000)]
+    assert time.time() - begun < 30
 
 
 def test_blocks_give_the_same_overlaps(spark, monkeypatch):

@@ -23,16 +23,14 @@ def test_held_out_accuracy(spark):
 
 
 def plain_phrases(text: bytes, sample: bytes) -> int:
-    """Longest stretches of ``text`` that occur in ``sample``, over stretches of 256 symbols."""
-    total = 0
-    for lo in range(0, len(text), 256):
-        part, at = text[lo : lo + 256], 0
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in sample:
-                size += 1
-            at += size
-            total += 1
+    """Longest stretches of ``text`` that occur in ``sample``, one after another over all of it."""
+    total, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at += size
+        total += 1
     return total
 
 
@@ -70,3 +68,23 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in language.identified(docs, ()).collect()} == {"und"}
     assert language.identified(docs.limit(0), samples).count() == 0
     assert language.learned_samples(docs.limit(0), F.lit(True)) == ()
+
+
+def test_parses_that_never_fall_into_step():
+    """Of a periodic text, every stretch begins at another place of a phrase."""
+    sample = b"aaaaaaa bbb ccccc"
+    texts = [b"a" * 5000, b"b" * 3001, b"ab" * 2000, b"c" * 100, b"a" * 700 + b"b" * 900 + b"a" * 801]
+    own = language.parser((("x", sample), ("y", b"abab aab")))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = own.phrases(*language.symbols(np.frombuffer(b"".join(texts), np.uint8), offsets))
+    assert found.tolist() == [[plain_phrases(t, sample), plain_phrases(t, b"abab aab")] for t in texts]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} " * 80, f"l{k:04}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.learned_samples(docs, F.lit(True))
+    assert [name for name, _ in samples] == sorted(r[2] for r in rows)
+    assert all(language.LEAST_CHARS <= len(text) <= 200 for _, text in samples)
+    some = docs.where("doc_id % 100 = 7")
+    assert all(r.lang_pred == f"l{r.id:04}" for r in language.identified(some, samples).collect())

@@ -64,9 +64,9 @@ def test_scores_equal_plain_iteration(spark):
     seeds = [("a", 3, 0), ("e", 1, 0), ("d", 0, 5)]
     table = spark.createDataFrame(edges, "src string, dst string, weight double")
     seed_table = spark.createDataFrame(seeds, "host string, trust long, distrust long")
-    found = {r.host: (r.trust, r.distrust) for r in link_graph.propagated(table, seed_table, 10).collect()}
-    trust = plain_scores(edges, {"a": 3, "e": 1}, 10)
-    distrust = plain_scores([(d, s, w) for s, d, w in edges], {"d": 5}, 10)
+    found = {r.host: (r.trust, r.distrust) for r in link_graph.propagated(table, seed_table, 1e-12).collect()}
+    trust = plain_scores(edges, {"a": 3, "e": 1}, 200)
+    distrust = plain_scores([(d, s, w) for s, d, w in edges], {"d": 5}, 200)
     for host in set(trust) | set(distrust):
         assert found[host] == pytest.approx((trust.get(host, 0), distrust.get(host, 0)))
 
@@ -90,3 +90,17 @@ def test_links_and_edge_rows(spark):
     }
     assert link_graph.judged_pages(pages.limit(0), rules).count() == 0
     assert link_graph.judged_pages(pages, rules.limit(0)).count() == len(rows)
+
+
+def test_a_long_chain_of_hosts_is_followed(spark):
+    """Distrust reaches a host 60 links before the blocked one; the scores are those of the query's pages."""
+    link = '<a href="http://h{}.test/">x</a>'
+    rows = [(k, f"http://h{k}.test/", link.format(k + 1)) for k in range(61)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("block", "h60.test", "/")], "action string, host string, path string")
+    found = {r.page_id: r for r in link_graph.judged_pages(pages, rules).collect()}
+    edges = [(f"h{k + 1}.test", f"h{k}.test", 1.0) for k in range(61)]
+    expected = plain_scores(edges, {"h60.test": 1}, 100)
+    assert all(found[k].verdict == "block" for k in range(61))
+    for k in range(61):
+        assert found[k].distrust == pytest.approx(expected[f"h{k}.test"], abs=1e-5)

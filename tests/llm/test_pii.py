@@ -125,3 +125,11 @@ def test_patterns_are_the_words_around(spark):
     assert found["650-555-9999"] == (at, ["one t0: _", "t0: _ ,"])
     assert found["2024-01-31"] == (text.index("2024"), ["t0: 000-000-0000, _", "000-000-0000, _ due"])
     assert found["x3"] == (len(text) - 2, ["b b _"])
+
+
+def test_patterns_hold_whole_words_only(spark):
+    text = "x" * 300 + " 650-555-9999 " + "y" * 300 + " a " + "z" * 50 + " 650-555-9998"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = {s.value: s.patterns for s in pii.mentions(docs).first().candidates}
+    assert found["650-555-9999"] == []
+    assert found["650-555-9998"] == ["a " + "z" * 50 + " _"]

@@ -24,9 +24,13 @@ from wiretally.llm.tokens import buffers, slices, utf8
 EXCERPTS = 150
 EXCERPT_CHARS = 200
 TOTAL_CHARS = 200_000
+#: Characters that an excerpt has at least, however many languages there are.
+LEAST_CHARS = 20
+#: Parts of a language's texts, among which the excerpts are picked first.
+PARTS = 64
 UNKNOWN = "und"
 
-#: A text is parsed in stretches of so many symbols, all side by side.
+#: A text is parsed in stretches of so many symbols, side by side as far as that goes.
 _STRETCH = 256
 _SLICE = 1 << 20
 
@@ -89,20 +93,54 @@ class Parser(NamedTuple):
     bits: np.ndarray
 
     def phrases(self, symbol: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Phrases of each row in each language, rows by languages."""
-        n_rows, n_langs = len(bounds) - 1, len(self.langs)
+        """Phrases of each row in each language, rows by languages.
+
+        The result is that of one parse from a row's first symbol to its last.
+        A parse is fixed by the state it starts in, so all stretches are parsed
+        from the root at first, then from where the one before ended. Parses
+        soon fall into step; only stretches whose start still changes after
+        that are parsed once more, in order.
+        """
+        n_rows = len(bounds) - 1
         count = np.diff(bounds)
         stretches = -(-count // _STRETCH)
         row = np.repeat(np.arange(n_rows), stretches)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
         start = bounds[:-1][row] + nth * _STRETCH
         length = np.minimum(count[row] - nth * _STRETCH, _STRETCH)
-        order = np.argsort(-length, kind="stable")
-        row, start, length = row[order], start[order], length[order]
-        active = len(row) - np.searchsorted(length[::-1], np.arange(1, _STRETCH + 1), side="left")
         column = self.column[symbol]
-        state = np.repeat(self.root[:, None], len(row), axis=1)
-        found = np.zeros((n_langs, len(row)), np.int32)
+        begun = np.repeat(self.root[:, None], len(row), axis=1)
+        found, ended = self._parsed(column, start, length, begun)
+
+        def again(own: np.ndarray) -> None:
+            after = ended[:, own - 1]
+            own, after = (x[..., (after != begun[:, own]).any(axis=0)] for x in (own, after))
+            if len(own):
+                begun[:, own] = after
+                found[:, own], ended[:, own] = self._parsed(column, start[own], length[own], after)
+
+        again(np.flatnonzero(nth > 0))
+        left = np.flatnonzero(nth > 0)
+        left = left[(ended[:, left - 1] != begun[:, left]).any(axis=0)]
+        # From a row's first open stretch on, each may open the next.
+        open_from = np.full(n_rows, np.iinfo(np.int64).max)
+        np.minimum.at(open_from, row[left], nth[left])
+        todo = np.flatnonzero(nth >= open_from[row])
+        for own in np.split(todo[np.argsort(nth[todo], kind="stable")], np.flatnonzero(np.diff(np.sort(nth[todo]))) + 1):
+            again(own)
+        last = np.flatnonzero(np.diff(np.append(row, n_rows)))
+        found[:, last] += ended[:, last] != self.root[:, None]
+        return np.stack([np.bincount(row, f, minlength=n_rows) for f in found], axis=1)
+
+    def _parsed(
+        self, column: np.ndarray, start: np.ndarray, length: np.ndarray, begun: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end within each stretch, and the state at its end, languages by stretches."""
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        active = len(start) - np.searchsorted(length[::-1], np.arange(1, _STRETCH + 1), side="left")
+        state = begun[:, order]
+        found = np.zeros(state.shape, np.int32)
         root = (self.root * self.width)[:, None]
         for t in range(_STRETCH):
             m = active[t]
@@ -121,8 +159,8 @@ class Parser(NamedTuple):
                 found[:, :m] += lost
                 after = np.where(miss, np.where(lost, self.root[:, None], fresh), after)
             state[:, :m] = after
-        found += state != self.root[:, None]
-        return np.stack([np.bincount(row, f, minlength=n_rows) for f in found], axis=1)
+        back = np.argsort(order)
+        return found[:, back], state[:, back]
 
 
 @lru_cache(maxsize=2)
@@ -157,30 +195,35 @@ def learned_samples(
     """Sample text per language, from the rows where ``known`` holds and the language is not null.
 
     At most ``EXCERPTS`` stretches of ``EXCERPT_CHARS`` characters per language,
-    fewer if all languages together would pass ``TOTAL_CHARS``, from texts and
-    places that a hash of the text picks; copies count once. Only the picked
-    hashes go to all tasks and only the stretches come to the driver. Of more
-    than 1000 languages the first 1000 by code point are learned.
+    from texts and places that a hash of the text picks; copies count once. If
+    all languages together would pass ``TOTAL_CHARS``, each has fewer stretches
+    and, beyond 1000 languages, shorter ones, of 20 characters at least. Every
+    language is learned. Only the picked hashes go to all tasks and only the
+    stretches come to the driver.
     """
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.where(known & F.col(lang_col).isNotNull() & lettered)
     rows = rows.select(
         F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("pick"), F.lower(text_col).alias("text")
     )
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("pick"))
-    picked = rows.select("lang", "pick").distinct().withColumn("nth", nth)
-    most = TOTAL_CHARS // EXCERPT_CHARS
-    picked = picked.where(F.col("nth") <= EXCERPTS).orderBy("lang", "nth").limit(most * EXCERPTS)
-    room = F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1
-    stretch = F.substring("text", (F.pmod("pick", room) + 1).cast("int"), F.lit(EXCERPT_CHARS))
+    langs = rows.select("lang").distinct().count()
+    each = min(EXCERPTS, max(1, TOTAL_CHARS // EXCERPT_CHARS // max(1, langs)))
+    chars = min(EXCERPT_CHARS, max(LEAST_CHARS, TOTAL_CHARS // max(1, langs)))
+    # The first of every part, then the first of those: no task sees a whole language.
+    part = F.pmod(F.shiftright("pick", 8), F.lit(PARTS)).alias("part")
+    picked = rows.select("lang", "pick", part).distinct()
+    for group in (["lang", "part"], ["lang"]):
+        nth = F.row_number().over(W.partitionBy(*group).orderBy("pick"))
+        picked = picked.withColumn("nth", nth).where(F.col("nth") <= each)
+    picked = picked.drop("part")
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    stretch = F.substring("text", (F.pmod("pick", room) + 1).cast("int"), F.lit(chars))
     chosen = rows.join(F.broadcast(picked), ["lang", "pick"])
     chosen = chosen.groupBy("lang", "nth").agg(F.min(stretch).alias("text")).orderBy("lang", "nth")
     found: dict[str, list[str]] = {}
     for r in chosen.toArrow().to_pylist():
         found.setdefault(r["lang"], []).append(r["text"])
-    names = sorted(found)[:most]
-    each = max(1, most // max(1, len(names)))
-    return tuple((lang, " ".join(found[lang][:each]).encode()) for lang in names)
+    return tuple((lang, " ".join(found[lang]).encode()) for lang in sorted(found))
 
 
 def identified(

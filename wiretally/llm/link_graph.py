@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from wiretally.llm.storage import durable
 
 DAMPING = 0.85
-ROUNDS = 20
 #: Rounds that run as one job, after which the change is looked at.
 STRIDE = 5
-TOLERANCE = 1e-3
+#: Rounds end when all scores together move by less.
+TOLERANCE = 1e-5
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^/?#"'\s>]+)"""
@@ -81,13 +81,15 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     return up.unionAll(down).withColumn("weight", F.lit(1.0))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """``(host, trust, distrust)`` of every host that either reaches.
 
     ``seeds`` has ``(host, trust, distrust)`` weights, of which each kind is
     scaled to a sum of 1. Trust flows along edges, distrust against them; what
-    a host without such edges would pass on is left out. Rounds end when the
-    scores move by less than 0.001 in sum, or after ``rounds``.
+    a host without such edges would pass on is left out. Rounds go on until the
+    scores move by less than ``tolerance`` in sum. As each round moves at most
+    0.85 times what the one before moved, about 70 rounds always suffice, and
+    no host with a score above the tolerance is left out.
     """
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
     backward = edges.select(
@@ -109,7 +111,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     start = durable(start, "seeds")
     base = start.withColumn("score", F.col("score") * (1 - DAMPING))
     scores = start
-    for _ in range(0, rounds, STRIDE):
+    while True:
         before = scores
         for _ in range(STRIDE):
             flow = steps.join(scores.withColumnRenamed("host", "src"), ["kind", "src"])
@@ -118,7 +120,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
         scores = durable(scores, "scores")
         signed = scores.unionByName(before.withColumn("score", -F.col("score")))
         moved = signed.groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("by"))
-        if (moved.agg(F.sum("by")).first()[0] or 0.0) < TOLERANCE:
+        if (moved.agg(F.sum("by")).first()[0] or 0.0) < tolerance:
             break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
@@ -138,7 +140,9 @@ def judged_pages(
     longest fitting rule decides. Otherwise a host with more distrust than
     trust is blocked, and any other allowed. Hosts are joined by links in the
     html and to the domain above them. A null url, or one without ``://``, has
-    empty host and path and no edges; null html has no links.
+    empty host and path and no edges; null html has no links. Urls and html of
+    any length are read whole; repeated rows are judged each; empty tables give
+    no rows. Other columns are not looked at.
     """
     placed = pages.select(
         F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")

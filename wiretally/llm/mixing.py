@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wiretally.llm.columns import fresh, named, row_key
 from wiretally.llm.storage import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,18 +31,25 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stream_key(doc_id: Column) -> Column:
-    """Hex digits that fix a document's place in its source, the same on every run."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def stream_key(doc_id: Column, text: Column) -> Column:
+    """Hex digits that fix a document's place in its source, the same on every run.
+
+    The text takes part, so that rows which share an id, or have none, do not
+    crowd into one part.
+    """
+    own = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.md5(F.concat(own, F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """``(id, source, text_hash, size)`` of every row."""
+    """``(id, source, text_hash, size, key)`` of every row."""
+    key = row_key(docs, id_col, text_col)
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"),
-        words_in(F.col(text_col)).alias("size"),
+        key["id"].alias("id"),
+        named(docs, source_col).alias("source"),
+        key["text_hash"].alias("text_hash"),
+        words_in(named(docs, text_col)).alias("size"),
+        stream_key(named(docs, id_col), named(docs, text_col)).alias("key"),
     )
 
 
@@ -123,7 +131,7 @@ def mix_plan(
 ) -> DataFrame:
     """``(id, text_hash, size, source_size, target, copies, taken, positions)`` per row.
 
-    A source's documents follow one another in the order of a hash of their id
+    A source's documents follow one another in the order of a hash of their id and text
     (then id, then text hash), again and again; the mix takes whole copies as
     long as a copy's middle lies below the source's target. ``positions`` has
     the training position, 0 to 1, of each copy. Null and empty texts have size
@@ -135,8 +143,7 @@ def mix_plan(
     """
     sizes = durable(sized(docs, id_col, source_col, text_col), "sizes")
     targets = source_targets(sizes, **settings)
-    keyed = sizes.withColumn("key", stream_key(F.col("id")))
-    keyed = keyed.withColumn("part", F.substring("key", 1, PART_DIGITS)).withColumn(
+    keyed = sizes.withColumn("part", F.substring("key", 1, PART_DIGITS)).withColumn(
         "at", F.struct(F.col("source").alias("s"), F.col("part").alias("p"))
     )
     parts = keyed.groupBy("at").agg(F.sum("size").alias("words"))
@@ -180,15 +187,17 @@ def mixed(
 ) -> DataFrame:
     """``docs`` in training order: a row per copy, its columns and ``position``.
 
-    A column of that name is replaced. Rows are range-sorted by position; documents that the mix does not reach
-    are not in it. Rows that repeat both id and text count as often as they
-    stand in ``docs``.
+    A column named ``position``, in any case, is replaced; others may have any
+    name. Rows are range-sorted by position; documents that the mix does not
+    reach are not in it. Rows that repeat both id and text count as often as
+    they stand in ``docs``.
     """
     plan = mix_plan(docs, id_col, source_col, text_col, **settings)
-    key = F.struct(F.col("id"), F.col("text_hash")).alias("_row_key")
-    places = plan.where("copies > 0").select(key, F.explode("positions").alias("_position"))
-    text_hash = F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")
-    keyed = docs.withColumn("_row_key", F.struct(F.col(id_col).alias("id"), text_hash))
-    one_each = keyed.dropDuplicates(["_row_key"])
-    placed = one_each.drop("position").join(places, "_row_key").drop("_row_key")
-    return placed.withColumnRenamed("_position", "position").orderBy("position", id_col)
+    key, place = fresh(docs, "_row_key"), fresh(docs, "_position")
+    places = plan.where("copies > 0").select(
+        F.struct("id", "text_hash").alias(key), F.explode("positions").alias(place)
+    )
+    keyed = docs.select("*", row_key(docs, id_col, text_col).alias(key))
+    placed = keyed.dropDuplicates([key]).join(places, key)
+    carried = [named(docs, c) for c in docs.columns if c.lower() != "position"]
+    return placed.select(*carried, F.col(place).alias("position")).orderBy("position", named(docs, id_col))

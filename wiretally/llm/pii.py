@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiretally.llm.columns import columns_of, fresh, named, row_key
 from wiretally.llm.storage import durable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -73,14 +74,18 @@ def _contexts(pieces: Column, start: Column, end: Column) -> Column:
     """Up to two lexical patterns: the two words before, and one on either side.
 
     They come from the 64 code points before and after the span, whatever else
-    was found there; at a text's bounds there may be fewer.
+    was found there; at a text's bounds there may be fewer. A word that goes on
+    beyond them is none: patterns hold whole words only.
     """
     piece = lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit(""))
     first, last = F.floor(start / _PIECE), F.floor(end / _PIECE)
     before = F.concat(piece(first - 1), F.left(piece(first), (start % _PIECE).cast("int")))
-    after = F.concat(F.substring(piece(last), (end % _PIECE + 1).cast("int"), F.lit(_CONTEXT)), piece(last + 1))
-    left = _words(F.right(before, F.lit(_CONTEXT)))
-    right = _words(F.left(after, F.lit(_CONTEXT)))
+    after = F.concat(F.substring(piece(last), (end % _PIECE + 1).cast("int"), F.lit(_PIECE)), piece(last + 1))
+    near = F.lit(_CONTEXT + 1)
+    cut_left = F.regexp_replace(F.right(before, near), r"^\S++", "")
+    cut_right = F.regexp_replace(F.left(after, near), r"(?<!\S)\S++$", "")
+    left = _words(F.when(F.length(before) > _CONTEXT, cut_left).otherwise(before))
+    right = _words(F.when(F.length(after) > _CONTEXT, cut_right).otherwise(after))
     one, two = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
     patterns = F.array(
         F.concat(two, F.lit(" "), one, F.lit(" _")),
@@ -134,10 +139,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     also where those are spans or candidates. A null text counts as empty and
     has neither.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
-    )
+    text = F.coalesce(named(docs, text_col), F.lit(""))
+    key = row_key(docs, id_col, text_col)
+    rows = docs.select(key["id"].alias("id"), key["text_hash"].alias("text_hash"), text.alias("text"))
     for kind in KINDS:
         rows = _with_matches(rows, kind, PATTERNS[kind])
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
@@ -223,7 +227,7 @@ def bootstrapped(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_hash, base, spans)``, one row per row of ``docs``.
+    """``(id, text_hash, base, spans)``, one row per row of ``docs``, from whole texts of any length.
 
     Both are sorted arrays of ``(start, kind_no, end)`` in code points, end
     exclusive; ``base`` has what the fixed patterns find, ``spans`` that and
@@ -268,19 +272,18 @@ def masked_text(text: Column, spans: Column) -> Column:
 def mask_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in the text, all rows and columns kept.
 
-    A column ``n_chars`` that counts the text's code points is counted again.
+    A column ``n_chars`` that counts the text's code points is counted again;
+    others may have any name. Null and empty texts stay as they are.
     """
+    key, own = fresh(docs, "_row_key"), fresh(docs, "_spans")
     spans = personal_data(docs, id_col, text_col).where(F.size("spans") > 0)
-    spans = spans.select(F.struct("id", "text_hash").alias("_row_key"), F.col("spans").alias("_spans"))
-    spans = spans.dropDuplicates(["_row_key"])
-    text_hash = F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")
-    keyed = docs.withColumn("_row_key", F.struct(F.col(id_col).alias("id"), text_hash))
-    joined = keyed.join(spans, "_row_key", "left")
-    text = F.col(text_col)
-    joined = joined.withColumn(
-        text_col, F.when(F.col("_spans").isNull(), text).otherwise(masked_text(text, F.col("_spans")))
-    )
+    spans = spans.select(F.struct("id", "text_hash").alias(key), F.col("spans").alias(own))
+    spans = spans.dropDuplicates([key])
+    joined = docs.select("*", row_key(docs, id_col, text_col).alias(key)).join(spans, key, "left")
+    text, found = named(docs, text_col), F.col(own).isNotNull()
+    masked = F.when(found, masked_text(text, F.col(own))).otherwise(text)
+    changed = {text_col: masked}
     if "n_chars" in docs.columns:
-        counted = F.length(text_col).cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(counted))
-    return joined.select(*docs.columns)
+        counted = F.length(masked).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(found, counted).otherwise(F.col("n_chars"))
+    return joined.select(*[changed.get(c, named(docs, c)).alias(c) for c in docs.columns])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from wiretally.llm.columns import columns_of, fresh, named, row_key
 from wiretally.llm.storage import durable
 from wiretally.llm.tokens import (
     ASCII_LOWER,
@@ -171,11 +172,12 @@ def fitted(
 ) -> Model:
     """The model, from at most ``fit_rows`` labelled documents that a hash of the id picks.
 
-    Only the picked ids, few by the bound, are sent to all tasks, and only the
-    features of their documents come back.
+    Only the picked ids, few by the bound, are sent to all tasks. The features
+    of their documents meet in one task, which fits the model; the driver sees
+    nothing but the weights.
     """
     picked = labelled(labels, id_col).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.select(named(docs, id_col).alias("id"), named(docs, text_col).alias("text"))
     chosen = chosen.join(F.broadcast(picked), "id").select("id", "good", "text")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +192,24 @@ def fitted(
                 names=["id", "good", "buckets"],
             )
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = [row for batch in held for row in _bucket_rows(batch.column("buckets"))]
+        ids = [i for batch in held for i in batch.column("id").to_pylist()]
+        good = np.array([g for batch in held for g in batch.column("good").to_pylist()], np.float64)
+        order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i]), int(rows[i].sum())))
+        model = fit_model([rows[i] for i in order], good[order])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weight.tobytes()]), pa.array([float(model.bias)])], names=["weight", "bias"]
+        )
+
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = chosen.mapInArrow(of_batches, f"id {kind}, good int, buckets binary").toArrow()
-    rows = [row for chunk in sample.column("buckets").chunks for row in _bucket_rows(chunk)]
-    ids = sample.column("id").to_pylist()
-    good = sample.column("good").to_numpy().astype(np.float64)
-    order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i]), int(rows[i].sum())))
-    model = fit_model([rows[i] for i in order], good[order])
-    del rows, sample
-    pa.default_memory_pool().release_unused()
-    return model
+    sample = chosen.mapInArrow(of_batches, f"id {kind}, good int, buckets binary")
+    # At most ``fit_rows`` rows.
+    model = sample.repartition(1).mapInArrow(fit, "weight binary, bias double").first()
+    if model is None:
+        return fit_model([], np.zeros(0))
+    return Model(np.frombuffer(bytes(model["weight"])), model["bias"])
 
 
 def _bucket_rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -252,15 +262,17 @@ def site_posteriors(
     ``p_path`` are the shrunken means of its sites, the path's without the
     document itself, and ``p_good`` combines text and path. A null host or path
     is a site of its own. Null and empty texts are judged like any other, by
-    the features of an empty text; repeated rows each count.
+    the features of an empty text, and very long ones as a whole; repeated rows
+    each count.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    own = row_key(docs, id_col, text_col)
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"),
+        own["id"].alias("id"),
+        own["text_hash"].alias("text_hash"),
         host.cast("string").alias("host"),
         path.cast("string").alias("path"),
-        F.col(text_col).alias("text"),
+        named(docs, text_col).alias("text"),
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -308,10 +320,15 @@ def drop_low_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects, columns unchanged."""
+    """``docs`` without the rows that the classifier rejects, columns unchanged.
+
+    See ``site_posteriors`` for nulls, empty and very long texts and repeated
+    rows. Columns may have any name. Empty ``docs`` or ``labels`` give no rows
+    and a model without weights.
+    """
     model = fitted(docs, labels, id_col, text_col)
     judged = site_posteriors(docs, model, host, path, id_col, text_col)
-    kept = judged.where("keep").select(F.struct("id", "text_hash").alias("_row_key"))
-    text_hash = F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")
-    keyed = docs.withColumn("_row_key", F.struct(F.col(id_col).alias("id"), text_hash))
-    return keyed.join(kept, "_row_key", "left_semi").select(*docs.columns)
+    key = fresh(docs, "_row_key")
+    kept = judged.where("keep").select(F.struct("id", "text_hash").alias(key))
+    keyed = docs.select("*", row_key(docs, id_col, text_col).alias(key))
+    return keyed.join(kept, key, "left_semi").select(*columns_of(docs))

@@ -58,6 +58,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies",
         F.get("positions", F.lit(0)).alias("position"),
+        F.get("positions", F.lit(1)).alias("second_position"),  # no document is taken more than twice
     ).orderBy("position", "doc_id")
 
 
@@ -195,7 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP2_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '') || ':' || md5(coalesce(text, ''))) AS key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 sources AS (
@@ -226,11 +227,14 @@ placed AS (
 counted AS (
   SELECT *, CASE WHEN target > middle AND source_size > 0
     THEN cast(ceil((target - middle) / source_size) AS int) ELSE 0 END AS copies,
-    CASE WHEN target > 0 THEN middle / target * ((a + b) / 2) ELSE 0 END AS need
+    CASE WHEN target > 0 THEN middle / target * ((a + b) / 2) ELSE 0 END AS need,
+    CASE WHEN target > 0 THEN (middle + source_size) / target * ((a + b) / 2) ELSE 0 END AS again
   FROM placed)
 SELECT doc_id, size, source_size, target, cast(copies * size AS bigint) AS taken, copies,
   CASE WHEN copies = 0 THEN NULL WHEN need > 0
-    THEN 2 * need / (a + sqrt(greatest(a * a + 2 * (b - a) * need, 0))) ELSE 0 END AS position
+    THEN 2 * need / (a + sqrt(greatest(a * a + 2 * (b - a) * need, 0))) ELSE 0 END AS position,
+  CASE WHEN copies < 2 THEN NULL WHEN again > 0
+    THEN 2 * again / (a + sqrt(greatest(a * a + 2 * (b - a) * again, 0))) ELSE 0 END AS second_position
 FROM counted"""
 
 
