@@ -82,7 +82,13 @@ def index_items(ids: pa.Array, texts: pa.Array) -> Items:
     order = np.argsort(hashes, kind="stable")
     bitmap = np.zeros(1 << _FILTER_BITS, bool)
     bitmap[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Items(ids, bounds, word, hashes[order], at[order], bitmap)
+    return Items(ids, bounds, word, hashes[order], at[order], np.packbits(bitmap, bitorder="little"))
+
+
+def _maybe(items: Items, h: np.ndarray) -> np.ndarray:
+    """False where no item has the hash."""
+    bit = h >> np.uint64(64 - _FILTER_BITS)
+    return (items.filter[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _best_overlap(same: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
@@ -177,7 +183,7 @@ def overlaps(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int
         spots, marks = [], []
         for k in range(len(SEEDS)):
             at, h = seed_hashes(w.hash, w.row, k)
-            may = items.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+            may = _maybe(items, h)
             spots.append(at[may])
             marks.append(h[may])
         at, h = np.concatenate(spots), np.concatenate(marks)
