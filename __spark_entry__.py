@@ -42,6 +42,8 @@ from wiretally.sources.captures import (  # noqa: E402
     read_packets,
 )
 from wiretally.sources.export import SEGMENT_BITS, write_captures  # noqa: E402
+from wiretally.sources.files import resolve  # noqa: E402
+from wiretally.sources.growing import stream_growing_captures  # noqa: E402
 from wiretally.sources.packets import read_packets_table, write_packets  # noqa: E402
 from wiretally.sources.splits import read_split_captures  # noqa: E402
 from wiretally.streaming.aggregates import (  # noqa: E402
@@ -50,6 +52,7 @@ from wiretally.streaming.aggregates import (  # noqa: E402
     stream_type_stats,
 )
 from wiretally.streaming.ingest import stream_captures  # noqa: E402
+from wiretally.streaming.reports import latest_reports, stream_interval_report  # noqa: E402
 from wiretally.streaming.results import run_appending, run_complete  # noqa: E402
 from wiretally.streaming.stateful import stream_event_runs, stream_reversals  # noqa: E402
 
@@ -286,6 +289,53 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_complete(stream_sessions(_live_packets(spark, sf_dir)), "stream-sessions")
 
 
+def _reported(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """The report of a stream: whole logs at once, or short segments, a few at a time."""
+    landing = _exported(spark, sf_dir, "landing", FEW_BITS if files else SEGMENT_BITS)
+    live = stream_captures(spark, landing, "int", *([files] if files else []))
+    live = with_recv_ts(live, capture_manifest(spark, sf_dir))
+    written = run_appending(stream_interval_report(live, WINDOW_SECONDS), "stream-report")
+    return _shown_windows(latest_reports(written))
+
+
+def _stream_interval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(spark, sf_dir)
+
+
+def _stream_interval_report_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(spark, sf_dir, FILES_AT_ONCE)
+
+
+def _copy_part(files: DataFrame, source: str, target: str, share: float) -> int:
+    """Copies the first bytes of every log, by tasks; the number of logs."""
+
+    def copy(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                name = path[path.index("capture_id=") :]
+                store, root = resolve(source)
+                with store.open_input_stream(f"{root}/{name}") as log:
+                    data = log.read()
+                store, root = resolve(target)
+                store.create_dir(os.path.dirname(f"{root}/{name}"))
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data[: round(len(data) * share)])
+            yield batch[["path"]]
+
+    return files.select("path").mapInPandas(copy, "path string").count()
+
+
+def _stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow in three steps, mostly to the middle of a record, and a restart after each."""
+    whole, root = _exported(spark, sf_dir, "whole"), scratch_dir(spark, "growing")
+    files = capture_files(spark, whole, "int")
+    for share in (0.37, 0.74, 1.0):
+        _copy_part(files, whole, f"{root}/logs", share)
+        live = stream_growing_captures(spark, f"{root}/logs", f"{root}/progress", "int")
+        found = run_appending(live, "growing", f"{root}/out")
+    return _payload_facts(found)
+
+
 def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
     """Queries and SQL of the training-data operators; none where they are not installed."""
     try:
@@ -345,6 +395,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_packet_rates": _stream_packet_rates,
         "stream_reversals": _stream_reversals,
         "stream_event_runs": _stream_event_runs,
+        "stream_interval_report": _stream_interval_report,
+        "stream_interval_report_batches": _stream_interval_report_batches,
+        "stream_growing_log": _stream_growing_log,
         "stream_sessions": _stream_sessions,
         "stream_type_stats": _stream_type_stats,
         "capture_damage": _capture_damage,
@@ -625,6 +678,9 @@ for _name, _like in {
     "wire_type_stats": "packet_type_stats",
     "wire_capture_summary": "capture_summary",
     "wire_interval_report": "interval_report",
+    "stream_growing_log": "capture_roundtrip",
+    "stream_interval_report": "interval_report",
+    "stream_interval_report_batches": "interval_report",
     "packet_type_stats_chunks": "packet_type_stats",
     "reversal_counts_chunks": "reversal_counts",
     "reversals_chunks": "reversals",
