@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from wire import RAW_SCHEMA, datagram, log, random_capture, raw_rows, record
 from wiretally.operators import rates
 from wiretally.operators.headers import datagrams, decode_headers
 from wiretally.plans.interval_report import interval_report
+from wiretally.sources import splits
 from wiretally.sources.anchors import approximate_anchors, unanchored_captures, with_recv_ts
 from wiretally.sources.archive import read_archive, write_archive
 from wiretally.sources.captures import (
@@ -23,7 +25,7 @@ from wiretally.sources.captures import (
 )
 from wiretally.sources.export import write_captures
 from wiretally.sources.packets import read_packets_table, write_packets
-from wiretally.sources.splits import MAX_RECORD_BYTES, chains, read_split_captures
+from wiretally.sources.splits import MAX_RECORD_BYTES, chains, follow, read_split_captures
 from wiretally.streaming.ingest import stream_damage
 from wiretally.streaming.results import run_appending
 
@@ -128,6 +130,48 @@ def test_chains_follow_every_entry_to_the_same_exit():
         assert found[entry] == (156, 3 - i)
 
 
+def test_chains_look_at_no_offset_twice(monkeypatch):
+    decoy = record(b"x" * 8, 1.0)
+    apart = [b"p" * pad + decoy * 150 for pad in range(1, len(decoy))]
+    data = log(apart)
+    span, entries = len(data) - MAX_RECORD_BYTES, MAX_RECORD_BYTES
+    looked = []
+
+    def noted(data, start, stop):
+        count, end, problem = follow(data, start, stop)
+        looked.append((start, count))
+        return count, end, problem
+
+    monkeypatch.setattr(splits, "follow", noted)
+    found = chains(data, span, entries)
+    assert len(found) > MAX_RECORD_BYTES // len(decoy)
+    starts = [start for start, _ in looked]
+    assert len(starts) == len(set(starts)) and len(starts) <= span
+    for entry, leave, records in found[::10]:
+        count, end, problem = follow(data, entry, span)
+        assert (end, count) == (leave, records) and problem is None
+
+
+def test_ranges_of_one_file_meet_in_joins_only(spark, tmp_path):
+    made = [datagram(frame=i, size=30 + i % 90) for i in range(700)]
+    (tmp_path / "long.bin").write_bytes(log(made))
+    (tmp_path / "short.bin").write_bytes(log(made[:3]))
+    files = capture_files(spark, str(tmp_path))
+    split = read_split_captures(files, 400)
+    assert records_of(split) == expected("long", made) + expected("short", made[:3])
+    plan = split._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "hashpartitioning(path#" in plan
+    assert not re.search(r"hashpartitioning\(path#\d+, \d+\)", plan)
+
+
+def test_a_log_of_one_range_is_read_once(spark, tmp_path, monkeypatch):
+    made = [datagram(frame=i, size=50) for i in range(9)]
+    (tmp_path / "a.bin").write_bytes(log(made))
+    monkeypatch.setattr(splits, "range_steps", None)
+    files = capture_files(spark, str(tmp_path))
+    assert records_of(read_split_captures(files, 10_000)) == expected("a", made)
+
+
 def test_export_is_byte_identical(spark, tmp_path, captures):
     raw = spark.createDataFrame(raw_rows(captures), RAW_SCHEMA).repartition(3)
     for name, bits in (("small", 6), ("whole", 18)):

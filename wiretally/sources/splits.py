@@ -9,33 +9,34 @@ out where, exactly:
    record and keeps where that chain leaves the range; offsets inside a payload
    soon meet an impossible length and drop out, and chains that meet continue as
    one;
-2. per file, these few rows are linked from offset 0 on, which picks the true
-   first record of every range and its number;
+2. these few rows are steps from range to range. Joined with themselves they
+   become steps over 2, 4, 8, ... ranges, and as many joins as the number of
+   ranges in the largest file has bits lead from offset 0 to the true first
+   record of every range and its number;
 3. every range is read from its true first record.
 
+The joins are by path and offset, so the ranges of one file spread over all
+tasks, and nothing about a file meets in one place.
+
 Files are opened through ``pyarrow.fs``, on whatever shared storage it knows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wiretally.layout import LOG_FRAME_BYTES, MAX_DATAGRAM_BYTES
-from wiretally.session import shuffle_width
+from wiretally.session import shuffle_width, stored
 from wiretally.sources.captures import raw_schema, rows_of
 from wiretally.sources.files import resolve
 from wiretally.sources.framing import record_batches
 
 RANGE_BYTES = 128 << 20
-# Chains that will meet do so within a few records; past this offset they are
-# followed one by one, so that offsets of a whole range need not be remembered.
-MERGE_BYTES = 1 << 16
 MAX_RECORD_BYTES = LOG_FRAME_BYTES + MAX_DATAGRAM_BYTES
 
 
@@ -60,64 +61,53 @@ def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None,
 
     ``(entry, exit, records)`` with offsets into ``data``; records begin before
     ``span`` and ``exit`` is the first record at or after it. ``exit`` is None
-    when the file ends inside the last record.
+    when the file ends inside the last record. The hindmost chain moves first,
+    and chains that meet go on as one, so that no offset is looked at twice,
+    whatever payloads look like, and only the place of each chain is held.
     """
-    visited: dict[int, tuple[int, int]] = {}
-    leads: list[tuple[int | None, int] | None] = []
-    found = []
-    for entry in range(entries):
-        at, steps, path, lead = entry, 0, [], None
-        while at < span:
-            if at in visited:
-                chain, depth = visited[at]
-                joined = leads[chain]
-                lead = joined and (joined[0], steps + joined[1] - depth)
-                break
-            if at < MERGE_BYTES:
-                path.append(at)
-                ahead = at + 1
-            else:
-                ahead = span
-            offsets, at, problem = follow(data, at, ahead)
-            steps += offsets
-            if problem:
-                lead = None if problem == "bad length" else (None, steps)
-                break
+    place = {entry: entry for entry in range(entries)}
+    hindmost = list(place)
+    steps = [0] * entries
+    leads: list[tuple[int | None, int] | None] = [None] * entries
+    meetings = []
+    while hindmost:
+        at = heappop(hindmost)
+        chain = place.pop(at)
+        # The last chain left has none to meet.
+        count, end, problem = follow(data, at, at + 1 if hindmost else span)
+        steps[chain] += count
+        if problem:
+            leads[chain] = None if problem == "bad length" else (None, steps[chain])
+        elif end >= span:
+            leads[chain] = (end, steps[chain])
+        elif end in place:
+            other = place[end]
+            meetings.append((chain, other, steps[chain] - steps[other]))
         else:
-            lead = (at, steps)
-        for depth, offset in enumerate(path):
-            visited[offset] = (len(leads), depth)
-        leads.append(lead)
-        if lead:
-            found.append((entry, *lead))
-    return found
+            place[end] = chain
+            heappush(hindmost, end)
+    # A chain that others have met may itself have met another later on.
+    for chain, other, more in reversed(meetings):
+        lead = leads[other]
+        leads[chain] = lead and (lead[0], lead[1] + more)
+    return [(entry, *lead) for entry, lead in enumerate(leads) if lead]
 
 
-def read_split_captures(
-    files: DataFrame, range_bytes: int = RANGE_BYTES, headers_only: bool = False
-) -> DataFrame:
-    """``packets_raw`` (or ``packets``) of log files of any size.
+def range_steps(files: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
+    """``(path, entry, exit, records)``: from a possible first record of a range to the next range's.
 
-    ``files`` is a listing as from :func:`~wiretally.sources.captures.capture_files`.
+    Only exits inside the file count, and no range that ends its file is read.
     """
-    capture_id = files.schema["capture_id"]
-    tasks = shuffle_width(files.sparkSession)
     ranges = (
-        files.where("length > 0")
+        files.where(F.col("length") > range_bytes)
         .withColumn(
-            "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes)))
+            "start",
+            F.explode(F.sequence(F.lit(0), F.col("length") - 1 - range_bytes, F.lit(range_bytes))),
         )
-        .select("capture_id", "segment", "path", "start")
+        .select("path", "length", "start")
         .repartition(tasks, "path", "start")
     )
-    leads_schema = T.StructType(
-        [
-            *ranges.schema.fields,
-            T.StructField("entry", T.LongType()),
-            T.StructField("exit", T.LongType()),
-            T.StructField("records", T.LongType()),
-        ]
-    )
+    names = ["path", "entry", "exit", "records"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,54 +116,74 @@ def read_split_captures(
                 data = read_range(row["path"], start, start + range_bytes + MAX_RECORD_BYTES)
                 span = min(range_bytes, len(data))
                 entries = 1 if start == 0 else min(MAX_RECORD_BYTES, span)
-                leads = chains(data, span, entries)
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            **row,
-                            "entry": start + entry,
-                            "exit": None if leave is None else start + leave,
-                            "records": records,
-                        }
-                        for entry, leave, records in leads
-                    ]
-                    # A range with no way through it still has to be read.
-                    or [{**row, "entry": None, "exit": None, "records": 0}],
-                    batch.schema.append(pa.field("entry", pa.int64()))
-                    .append(pa.field("exit", pa.int64()))
-                    .append(pa.field("records", pa.int64())),
-                )
+                leads = [
+                    (start + entry, start + leave, records)
+                    for entry, leave, records in chains(data, span, entries)
+                    if leave is not None and start + leave < row["length"]
+                ]
+                if leads:
+                    columns = [pa.array(c, pa.int64()) for c in zip(*leads)]
+                    paths = pa.array([row["path"]] * len(leads))
+                    yield pa.RecordBatch.from_arrays([paths, *columns], names)
 
-    reads_schema = T.StructType(
-        [
-            *ranges.schema.fields,
-            T.StructField("entry", T.LongType()),
-            T.StructField("seq", T.LongType()),
-        ]
-    )
+    return ranges.mapInArrow(find, "path string, entry long, exit long, records long")
 
-    def link(leads: pd.DataFrame) -> pd.DataFrame:
-        by_entry = leads.set_index("entry")
-        at, seq, picked = 0, int(leads["segment"].iloc[0]), []
-        for start in sorted(leads["start"].unique()):
-            if at >= start + range_bytes:
-                continue
-            picked.append((start, at, seq))
-            if at not in by_entry.index or pd.isna(by_entry.at[at, "exit"]):
-                break
-            seq += int(by_entry.at[at, "records"])
-            at = int(by_entry.at[at, "exit"])
-        chosen = pd.DataFrame(picked, columns=["start", "entry", "seq"])
-        for name in ("capture_id", "segment", "path"):
-            chosen[name] = leads[name].iloc[0]
-        return chosen[["capture_id", "segment", "path", "start", "entry", "seq"]]
-
-    reads = (
-        ranges.mapInArrow(find, leads_schema)
-        .groupBy("path")
-        .applyInPandas(link, reads_schema)
-        .repartition(tasks, "path", "start")
-    )
+
+def first_records(files: DataFrame, range_bytes: int, most: int, tasks: int) -> DataFrame:
+    """``files`` with ``entry`` and ``seq``: a row per range in which a record begins.
+
+    ``most`` is the largest number of ranges of a file. A range after damage
+    has no row; the one with the damage has, since it must be read up to there.
+    """
+    reached = files.withColumn("entry", F.lit(0).cast("bigint")).withColumn("seq", F.col("segment"))
+    if most > 1:
+        steps = stored(range_steps(files, range_bytes, tasks), "range-steps")
+    known = 1
+    while known < most:
+        here = F.struct("entry", "seq")
+        there = F.struct(F.col("exit").alias("entry"), (F.col("seq") + F.col("records")).alias("seq"))
+        both = F.when(F.col("exit").isNull(), F.array(here)).otherwise(F.array(here, there))
+        reached = (
+            reached.join(steps, ["path", "entry"], "left")
+            .select(*files.columns, F.explode(both).alias("_place"))
+            .select(*files.columns, "_place.entry", "_place.seq")
+        )
+        known *= 2
+        if known < most:
+            onward = steps.select(
+                "path",
+                F.col("entry").alias("exit"),
+                F.col("exit").alias("_exit"),
+                F.col("records").alias("_records"),
+            )
+            steps = stored(
+                steps.join(onward, ["path", "exit"]).select(
+                    "path",
+                    "entry",
+                    F.col("_exit").alias("exit"),
+                    (F.col("records") + F.col("_records")).alias("records"),
+                ),
+                "range-steps",
+            )
+    return reached
+
+
+def read_split_captures(
+    files: DataFrame, range_bytes: int = RANGE_BYTES, headers_only: bool = False
+) -> DataFrame:
+    """``packets_raw`` (or ``packets``) of log files of any size.
+
+    ``files`` is a listing as from :func:`~wiretally.sources.captures.capture_files`.
+    Files longer than a range are scanned for entry points at once, when this
+    is called; what is found lies below ``spark.checkpoint.dir``.
+    """
+    capture_id = files.schema["capture_id"]
+    tasks = shuffle_width(files.sparkSession)
+    sized = files.where("length > 0").select("capture_id", "segment", "path", "length")
+    most = sized.agg(F.max(F.ceil(F.col("length") / F.lit(range_bytes)))).first()[0] or 0
+    reads = first_records(sized, range_bytes, most, tasks)
+    reads = reads.withColumn("start", F.col("entry") - F.pmod("entry", F.lit(range_bytes)))
+    reads = reads.drop("length").repartition(tasks, "path", "start")
     schema = raw_schema(capture_id, headers_only)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
