@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from wiretally.operators import sequence, stats
 from wiretally.operators.lookup import join_per_capture
+from wiretally.operators.rates import capture_starts, with_relative_window
 from wiretally.plans.capture_summary import capture_summary
+from wiretally.plans.interval_report import interval_report
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +142,19 @@ def test_a_hot_capture_is_spread_when_facts_are_not_broadcast(packets):
         assert salted.exceptAll(sent).count() == 0 and salted.count() == packets.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_relative_windows_move_no_row_when_captures_are_few(packets):
+    spark = packets.sparkSession
+    timed = packets.selectExpr("*", "seq / 50D AS recv_mono", "seq % 5 AS session_uid")
+    starts = capture_starts(timed)
+    windowed = with_relative_window(timed, 2.0, starts)
+    plan = plan_of(windowed)
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    report = interval_report(timed, timed, relative=True)
+    assert "_salt" not in plan_of(report)
+    first = {r[0]: r[1] for r in timed.groupBy("capture_id").agg(F.min("recv_mono")).collect()}
+    for r in windowed.limit(500).collect():
+        assert r["window_index"] == (r["recv_mono"] - first[r["capture_id"]]) // 2.0
+    none = spark.createDataFrame([], starts.schema)
+    assert with_relative_window(timed, 2.0, none).isEmpty()

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.functions import is_valid, rate
-from wiretally.operators.lookup import join_per_capture
+from wiretally.operators.lookup import BROADCAST_CAPTURES, join_per_capture
 from wiretally.operators.ordering import BLOCK_BITS, dense_running_sums, running_sums
+from wiretally.session import stored
 
 TYPE_KEYS = ["capture_id", "packet_id"]
 
@@ -27,19 +28,32 @@ def with_window(df: DataFrame, seconds: float) -> DataFrame:
     return df.withColumn("window_index", (start / width).cast("bigint"))
 
 
+def capture_starts(packets: DataFrame) -> DataFrame:
+    """``(capture_id, started)``: each capture's own clock at its first packet.
+
+    Worked out when this is called and kept below ``spark.checkpoint.dir``, so
+    that it can be counted and used more than once for one read of the packets.
+    """
+    starts = packets.groupBy("capture_id").agg(F.min_by("recv_mono", "seq").alias("started"))
+    return stored(starts, "capture-starts")
+
+
 def with_relative_window(
-    df: DataFrame, seconds: float, packets: DataFrame | None = None
+    df: DataFrame, seconds: float, starts: DataFrame | None = None
 ) -> DataFrame:
     """Add ``window_index``, counted from each capture's first valid packet.
 
-    Needs no clock anchor: both times come from the capture's own clock. The
-    first packet is taken from ``packets``, by default ``df`` itself; rows of
+    Needs no clock anchor: both times come from the capture's own clock.
+    ``starts`` is from ``capture_starts``, by default of ``df`` itself; rows of
     ``df`` before it have negative windows, captures without one have no rows.
+    The starts are counted: few are broadcast, with more of them rows shuffle by
+    capture and salt.
     """
-    valid = df if packets is None else packets
-    started = valid.groupBy("capture_id").agg(F.min_by("recv_mono", "seq").alias("_started"))
+    starts = capture_starts(df) if starts is None else starts
+    captures = starts.limit(BROADCAST_CAPTURES + 1).count()
+    started = starts.select("capture_id", F.col("started").alias("_started"))
     return (
-        join_per_capture(df, started, "inner")
+        join_per_capture(df, started, "inner", captures)
         .withColumn(
             "window_index",
             F.floor((F.col("recv_mono") - F.col("_started")) / F.lit(float(seconds))),

@@ -10,6 +10,7 @@ from wiretally.operators.names import with_packet_name
 from wiretally.operators.ordering import BLOCK_BITS, dense_running_sums
 from wiretally.operators.rates import (
     TYPE_KEYS,
+    capture_starts,
     new_sessions,
     packet_rates,
     window_start,
@@ -49,7 +50,8 @@ def interval_report(
     p = packets.where(is_valid(F.col("size")))
     ends = F.col("window_index") + 1
     if relative:
-        d, p = with_relative_window(d, seconds, p), with_relative_window(p, seconds)
+        starts = capture_starts(p)
+        d, p = (with_relative_window(t, seconds, starts) for t in (d, p))
         started, uptime = F.lit(0), ends * F.lit(float(seconds))
     else:
         d, p = with_window(d, seconds), with_window(p, seconds)
