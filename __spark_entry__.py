@@ -52,6 +52,11 @@ from wiretally.streaming.aggregates import (  # noqa: E402
     stream_type_stats,
 )
 from wiretally.streaming.ingest import stream_captures  # noqa: E402
+from wiretally.streaming.corrections import (  # noqa: E402
+    latest_changes,
+    stream_event_run_changes,
+    stream_reversal_changes,
+)
 from wiretally.streaming.reports import latest_reports, stream_interval_report  # noqa: E402
 from wiretally.streaming.results import run_appending, run_complete  # noqa: E402
 from wiretally.streaming.stateful import stream_event_runs, stream_reversals  # noqa: E402
@@ -336,6 +341,28 @@ def _stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payload_facts(found)
 
 
+def _landed_late(
+    spark: SparkSession, sf_dir: str, changes: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Segments that land in three parts, dealt by their names, and a restart after each."""
+    whole, root = _exported(spark, sf_dir, "whole", FEW_BITS), scratch_dir(spark, "late")
+    files = capture_files(spark, whole, "int")
+    part = F.pmod(F.xxhash64(F.regexp_extract("path", "capture_id=.*", 0)), F.lit(3))
+    for k in range(3):
+        _copy_part(files.where(part == k), whole, f"{root}/logs", 1.0)
+        live = stream_captures(spark, f"{root}/logs", "int", FILES_AT_ONCE, headers_only=True)
+        found = run_appending(changes(live), "late", f"{root}/out")
+    return latest_changes(found)
+
+
+def _stream_reversals_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_late(spark, sf_dir, stream_reversal_changes)
+
+
+def _stream_event_runs_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_late(spark, sf_dir, stream_event_run_changes)
+
+
 def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
     """Queries and SQL of the training-data operators; none where they are not installed."""
     try:
@@ -422,6 +449,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "capture_split_ranges": _capture_split_ranges,
         "stream_reversals_batches": _stream_reversals_batches,
         "stream_event_runs_batches": _stream_event_runs_batches,
+        "stream_reversals_late": _stream_reversals_late,
+        "stream_event_runs_late": _stream_event_runs_late,
     }
 
     def in_utc(build):
@@ -698,6 +727,7 @@ for _name in ("stream_reversals", "stream_event_runs"):
     _ORACLES[f"{_name}_batches"] = _ORACLES[_name].replace("framed AS f", "framed_few AS f").replace(
         "JOIN framed USING", "JOIN framed_few USING"
     )
+    _ORACLES[f"{_name}_late"] = _ORACLES[f"{_name}_batches"]
 
 # Windows from each capture's first valid packet, by its own clock.
 _RELATIVE_WITH = _WITH.replace(

@@ -13,7 +13,8 @@ them; after a shuffle, or from files that lost that order, pass
 packets of one micro-batch, which ``files_per_trigger`` bounds, meet in one
 task. A segment that lands after its successor was processed cannot be linked
 any more: its first packet is emitted with ``out_of_order`` set, and the batch
-operators remain the authority.
+operators remain the authority. Where segments land in any order, use
+``streaming.corrections``, which keeps more state and takes back what changes.
 """
 
 from __future__ import annotations
@@ -80,16 +81,10 @@ class LinkEdges(StatefulProcessor):
         pass
 
 
-def _link(
-    rows: DataFrame,
-    keys: list[str],
-    extra: list[str],
-    starts_count: bool,
-    drops_only: bool,
-    in_order: bool,
-    ttl_ms: int | None,
-) -> DataFrame:
-    """Rows whose value differs from (or falls below) the one before, per key."""
+def edge_runs(
+    rows: DataFrame, keys: list[str], extra: list[str], drops_only: bool, in_order: bool
+) -> tuple[DataFrame, str]:
+    """Runs of rows as their first and last packet, and the hits settled within; with their schema."""
     if rows.sparkSession.conf.get(STATE_STORE, "") != ROCKSDB_PROVIDER:
         raise ValueError(f"set {STATE_STORE} to {ROCKSDB_PROVIDER}, as build_session does")
     columns = [*keys, "segment", "seq", "value", *extra]
@@ -120,20 +115,42 @@ def _link(
             )
             yield pd.concat([heads, settled]).drop(columns="segment")
 
-    return (
-        rows.mapInPandas(
-            settle, f"{base}, lane long, prev long, tail_seq long, tail_value long"
-        )
-        .groupBy(*keys, "lane")
-        .transformWithStateInPandas(
-            LinkEdges(starts_count, drops_only, ttl_ms),
-            f"{base}, prev long, has_prev boolean, out_of_order boolean",
-            "Append",
-            "None" if ttl_ms is None else "ProcessingTime",
-        )
+    return rows.mapInPandas(
+        settle, f"{base}, lane long, prev long, tail_seq long, tail_value long"
+    ), base
+
+
+def _link(
+    rows: DataFrame,
+    keys: list[str],
+    extra: list[str],
+    starts_count: bool,
+    drops_only: bool,
+    in_order: bool,
+    ttl_ms: int | None,
+) -> DataFrame:
+    """Rows whose value differs from (or falls below) the one before, per key."""
+    runs, base = edge_runs(rows, keys, extra, drops_only, in_order)
+    return runs.groupBy(*keys, "lane").transformWithStateInPandas(
+        LinkEdges(starts_count, drops_only, ttl_ms),
+        f"{base}, prev long, has_prev boolean, out_of_order boolean",
+        "Append",
+        "None" if ttl_ms is None else "ProcessingTime",
     )
 
 
+def reversal_rows(packets: DataFrame) -> DataFrame:
+    """Frames as the values that reversals compare."""
+    return packets.select(
+        "capture_id", "packet_id", "segment", "seq", F.col("frame_id").alias("value")
+    )
+
+
+def event_rows(packets: DataFrame) -> DataFrame:
+    """Event codes as the values that runs compare."""
+    return event_packets(packets, "segment").withColumn("value", event_code_key(F.col("code")))
+
+
 def stream_reversals(
     packets: DataFrame, in_order: bool = True, ttl_ms: int | None = None
 ) -> DataFrame:
@@ -143,10 +160,8 @@ def stream_reversals(
     keeps such a query busy with expiry, so it suits a processing-time trigger
     and never ends under ``availableNow``.
     """
-    rows = packets.select(
-        "capture_id", "packet_id", "segment", "seq", F.col("frame_id").alias("value")
-    )
-    linked = _link(rows, ["capture_id", "packet_id"], [], False, True, in_order, ttl_ms)
+    keys = ["capture_id", "packet_id"]
+    linked = _link(reversal_rows(packets), keys, [], False, True, in_order, ttl_ms)
     return linked.select(
         "capture_id",
         "packet_id",
@@ -161,7 +176,6 @@ def stream_event_runs(
     packets: DataFrame, in_order: bool = True, ttl_ms: int | None = None
 ) -> DataFrame:
     """The run starts of a stream's event codes, as ``operators.sequence.event_runs``."""
-    rows = event_packets(packets, "segment").withColumn("value", event_code_key(F.col("code")))
     extra = ["code", "session_time"]
-    linked = _link(rows, ["capture_id"], extra, True, False, in_order, ttl_ms)
+    linked = _link(event_rows(packets), ["capture_id"], extra, True, False, in_order, ttl_ms)
     return linked.select("capture_id", "seq", *extra, "out_of_order")
