@@ -344,12 +344,12 @@ def _stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed_late(
     spark: SparkSession, sf_dir: str, changes: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Segments that land in three parts, dealt by their names, and a restart after each."""
+    """Every third segment lands first, then each one before those, then the rest; restarts between."""
     whole, root = _exported(spark, sf_dir, "whole", FEW_BITS), scratch_dir(spark, "late")
     files = capture_files(spark, whole, "int")
-    part = F.pmod(F.xxhash64(F.regexp_extract("path", "capture_id=.*", 0)), F.lit(3))
-    for k in range(3):
-        _copy_part(files.where(part == k), whole, f"{root}/logs", 1.0)
+    first = F.regexp_extract("path", r"segment-(\d+)\.bin$", 1).cast("long")
+    for k in (0, 2, 1):
+        _copy_part(files.where(F.shiftright(first, FEW_BITS) % 3 == k), whole, f"{root}/logs", 1.0)
         live = stream_captures(spark, f"{root}/logs", "int", FILES_AT_ONCE, headers_only=True)
         found = run_appending(changes(live), "late", f"{root}/out")
     return latest_changes(found)
