@@ -159,14 +159,6 @@ def _stream_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("sizes", size_text(F.col("sizes")))
 
 
-def _stream_reversals_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_appending(stream_reversals(_few_at_a_time(spark, sf_dir)), "stream-reversals")
-
-
-def _stream_event_runs_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_appending(stream_event_runs(_few_at_a_time(spark, sf_dir)), "stream-runs")
-
-
 def _shown_windows(df: DataFrame) -> DataFrame:
     """Window starts as the zone-free type, beside their index."""
     if "window_start" not in df.columns:
@@ -341,26 +333,46 @@ def _stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payload_facts(found)
 
 
-def _landed_late(
-    spark: SparkSession, sf_dir: str, changes: Callable[[DataFrame], DataFrame]
+def _landed_parts(
+    spark: SparkSession, sf_dir: str, link: Callable[[DataFrame], DataFrame], late: bool
 ) -> DataFrame:
-    """Every third segment lands first, then each one before those, then the rest; restarts between."""
-    whole, root = _exported(spark, sf_dir, "whole", FEW_BITS), scratch_dir(spark, "late")
+    """Segments that land in parts, each a micro-batch, and a restart after each part.
+
+    Parts are quarters of the record numbers in order; or, for late segments,
+    every third segment first, then each one before those, then the rest. The
+    times at which parallel tasks finish their files decide nothing.
+    """
+    whole, root = _exported(spark, sf_dir, "whole", FEW_BITS), scratch_dir(spark, "parts")
     files = capture_files(spark, whole, "int")
     first = F.regexp_extract("path", r"segment-(\d+)\.bin$", 1).cast("long")
-    for k in (0, 2, 1):
-        _copy_part(files.where(F.shiftright(first, FEW_BITS) % 3 == k), whole, f"{root}/logs", 1.0)
-        live = stream_captures(spark, f"{root}/logs", "int", FILES_AT_ONCE, headers_only=True)
-        found = run_appending(changes(live), "late", f"{root}/out")
-    return latest_changes(found)
+    number = F.shiftright(first, FEW_BITS)
+    if late:
+        parts = [number % 3 == k for k in (0, 2, 1)]
+    else:
+        n = (files.agg(F.max(number)).first()[0] or 0) + 1
+        parts = [F.floor(number * 4 / n) == k for k in range(4)]
+    for part in parts:
+        landed = _copy_part(files.where(part), whole, f"{root}/logs", 1.0)
+        if landed:
+            live = stream_captures(spark, f"{root}/logs", "int", landed, headers_only=True)
+            found = run_appending(link(live), "parts", f"{root}/out")
+    return found
+
+
+def _stream_reversals_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_parts(spark, sf_dir, stream_reversals, late=False)
+
+
+def _stream_event_runs_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_parts(spark, sf_dir, stream_event_runs, late=False)
 
 
 def _stream_reversals_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _landed_late(spark, sf_dir, stream_reversal_changes)
+    return latest_changes(_landed_parts(spark, sf_dir, stream_reversal_changes, late=True))
 
 
 def _stream_event_runs_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _landed_late(spark, sf_dir, stream_event_run_changes)
+    return latest_changes(_landed_parts(spark, sf_dir, stream_event_run_changes, late=True))
 
 
 def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
