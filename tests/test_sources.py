@@ -25,6 +25,7 @@ from wiretally.sources.captures import (
 )
 from wiretally.sources.export import write_captures
 from wiretally.sources.packets import read_packets_table, write_packets
+from wiretally.session import stored
 from wiretally.sources.splits import MAX_RECORD_BYTES, chains, follow, read_split_captures
 from wiretally.streaming.ingest import stream_damage
 from wiretally.streaming.results import run_appending
@@ -318,3 +319,17 @@ def test_captures_without_an_anchor_stay_visible(spark, captures):
     assert {r[0] for r in report.select("capture_id").distinct().collect()} == {1, 2}
     plain = interval_report(datagrams(stamped), packets, 2.0)
     assert {r[0] for r in plain.select("capture_id").distinct().collect()} == {1}
+
+
+def test_ranges_send_no_table_to_the_driver_and_keep_one_step_each(spark, tmp_path, monkeypatch):
+    made = [datagram(frame=i, size=30 + i % 90) for i in range(700)]
+    (tmp_path / "long.bin").write_bytes(log(made))
+    files = capture_files(spark, str(tmp_path))
+    kept = []
+    monkeypatch.setattr(splits, "stored", lambda df, label: kept.append((label, stored(df, label))) or kept[-1][1])
+    split = read_split_captures(files, 6000)
+    assert "Broadcast" not in split._jdf.queryExecution().executedPlan().toString()
+    found, reached = [df.count() for label, df in kept if label == "range-steps"][:2]
+    ranges = len(log(made)) // 6000
+    assert (reached, found > 2 * ranges) == (ranges, True), (found, reached, ranges)
+    assert records_of(split) == expected("long", made)

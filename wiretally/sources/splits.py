@@ -9,14 +9,17 @@ out where, exactly:
    record and keeps where that chain leaves the range; offsets inside a payload
    soon meet an impossible length and drop out, and chains that meet continue as
    one;
-2. these few rows are steps from range to range. Joined with themselves they
-   become steps over 2, 4, 8, ... ranges, and as many joins as the number of
-   ranges in the largest file has bits lead from offset 0 to the true first
-   record of every range and its number;
+2. these rows are steps from range to range. Those that no step of the range
+   before leads to go, which leaves about one a range. Joined with themselves
+   the others become steps over 2, 4, 8, ... ranges, and as many joins as the
+   number of ranges in the largest file has bits lead from offset 0 to the true
+   first record of every range and its number;
 3. every range is read from its true first record.
 
-The joins are by path and offset, so the ranges of one file spread over all
-tasks, and nothing about a file meets in one place.
+The joins are by a number of the file and offset, so the ranges of one file
+spread over all tasks, and nothing about a file meets in one place. They never
+broadcast: the steps lie on disk at a fiftieth of what they take in memory, so
+that Spark would send tables to the driver that do not fit it.
 
 Files are opened through ``pyarrow.fs``, on whatever shared storage it knows.
 """
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +60,17 @@ def follow(data: bytes, start: int, stop: int) -> tuple[int, int, str | None]:
     return count, end, problem
 
 
+def possible_entries(data: bytes, entries: int) -> list[int]:
+    """The offsets below ``entries`` whose length, if they hold a whole frame, is one of a record."""
+    head = np.frombuffer(data, np.uint8, min(entries + 3, len(data))).astype(np.uint32)
+    framed = max(min(entries, len(data) - LOG_FRAME_BYTES + 1), 0)
+    lengths = np.zeros(framed, np.uint32)
+    for k in range(4):
+        lengths |= head[k : k + framed] << np.uint32(8 * k)
+    fits = np.flatnonzero((lengths > 0) & (lengths <= MAX_DATAGRAM_BYTES))
+    return [*fits.tolist(), *range(framed, entries)]
+
+
 def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None, int]]:
     """Where the records from each possible entry lead.
 
@@ -65,7 +80,7 @@ def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None,
     and chains that meet go on as one, so that no offset is looked at twice,
     whatever payloads look like, and only the place of each chain is held.
     """
-    place = {entry: entry for entry in range(entries)}
+    place = {entry: entry for entry in possible_entries(data, entries)}
     hindmost = list(place)
     steps = [0] * entries
     leads: list[tuple[int | None, int] | None] = [None] * entries
@@ -94,7 +109,7 @@ def chains(data: bytes, span: int, entries: int) -> list[tuple[int, int | None,
 
 
 def range_steps(files: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
-    """``(path, entry, exit, records)``: from a possible first record of a range to the next range's.
+    """``(file, entry, exit, records)``: from a possible first record of a range to the next range's.
 
     Only exits inside the file count, and no range that ends its file is read.
     """
@@ -104,10 +119,10 @@ def range_steps(files: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
             "start",
             F.explode(F.sequence(F.lit(0), F.col("length") - 1 - range_bytes, F.lit(range_bytes))),
         )
-        .select("path", "length", "start")
-        .repartition(tasks, "path", "start")
+        .select("file", "path", "length", "start")
+        .repartition(tasks, "file", "start")
     )
-    names = ["path", "entry", "exit", "records"]
+    names = ["file", "entry", "exit", "records"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,42 +138,50 @@ def range_steps(files: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
                 ]
                 if leads:
                     columns = [pa.array(c, pa.int64()) for c in zip(*leads)]
-                    paths = pa.array([row["path"]] * len(leads))
-                    yield pa.RecordBatch.from_arrays([paths, *columns], names)
+                    file = pa.array([row["file"]] * len(leads), pa.int64())
+                    yield pa.RecordBatch.from_arrays([file, *columns], names)
+
+    return ranges.mapInArrow(find, "file long, entry long, exit long, records long")
 
-    return ranges.mapInArrow(find, "path string, entry long, exit long, records long")
+
+def reached_steps(steps: DataFrame) -> DataFrame:
+    """The steps from the beginning of a file, and from where a step of the range before leads."""
+    exits = steps.select("file", F.col("exit").alias("entry")).distinct().hint("merge")
+    onward = steps.join(exits, ["file", "entry"], "left_semi")
+    return steps.where("entry = 0").unionByName(onward)
 
 
 def first_records(files: DataFrame, range_bytes: int, most: int, tasks: int) -> DataFrame:
     """``files`` with ``entry`` and ``seq``: a row per range in which a record begins.
 
-    ``most`` is the largest number of ranges of a file. A range after damage
+    ``file`` numbers the files. ``most`` is the largest number of ranges of a file. A range after damage
     has no row; the one with the damage has, since it must be read up to there.
     """
     reached = files.withColumn("entry", F.lit(0).cast("bigint")).withColumn("seq", F.col("segment"))
     if most > 1:
         steps = stored(range_steps(files, range_bytes, tasks), "range-steps")
+        steps = stored(reached_steps(steps), "range-steps")
     known = 1
     while known < most:
         here = F.struct("entry", "seq")
         there = F.struct(F.col("exit").alias("entry"), (F.col("seq") + F.col("records")).alias("seq"))
         both = F.when(F.col("exit").isNull(), F.array(here)).otherwise(F.array(here, there))
         reached = (
-            reached.join(steps, ["path", "entry"], "left")
+            reached.join(steps.hint("merge"), ["file", "entry"], "left")
             .select(*files.columns, F.explode(both).alias("_place"))
             .select(*files.columns, "_place.entry", "_place.seq")
         )
         known *= 2
         if known < most:
             onward = steps.select(
-                "path",
+                "file",
                 F.col("entry").alias("exit"),
                 F.col("exit").alias("_exit"),
                 F.col("records").alias("_records"),
             )
             steps = stored(
-                steps.join(onward, ["path", "exit"]).select(
-                    "path",
+                steps.join(onward.hint("merge"), ["file", "exit"]).select(
+                    "file",
                     "entry",
                     F.col("_exit").alias("exit"),
                     (F.col("records") + F.col("_records")).alias("records"),
@@ -179,11 +202,14 @@ def read_split_captures(
     """
     capture_id = files.schema["capture_id"]
     tasks = shuffle_width(files.sparkSession)
-    sized = files.where("length > 0").select("capture_id", "segment", "path", "length")
+    sized = files.where("length > 0").select(
+        "capture_id", "segment", "path", "length", F.monotonically_increasing_id().alias("file")
+    )
+    sized = stored(sized, "range-files")
     most = sized.agg(F.max(F.ceil(F.col("length") / F.lit(range_bytes)))).first()[0] or 0
     reads = first_records(sized, range_bytes, most, tasks)
     reads = reads.withColumn("start", F.col("entry") - F.pmod("entry", F.lit(range_bytes)))
-    reads = reads.drop("length").repartition(tasks, "path", "start")
+    reads = reads.drop("length", "file").repartition(tasks, "path", "start")
     schema = raw_schema(capture_id, headers_only)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
