@@ -183,3 +183,22 @@ def test_a_trigger_is_bounded_and_damage_ends_a_log(spark, tmp_path):
     assert 0 < counts[0] < counts[1] < counts[2] <= counts[3]
     path.write_bytes(data + log(made))
     same(run(spark, tmp_path, 1 << 20, "int"), read_captures(spark, str(tmp_path / "logs"), "int"))
+
+
+def test_a_task_sends_each_window_and_session_once(spark):
+    from wiretally.streaming import reports
+
+    rows = spark.range(0, 30_000, 1, 1).selectExpr(
+        "1 AS capture_id", "id DIV 10000 AS window_index", "id AS seq", "60 AS size",
+        "cast(id % 2 AS int) AS packet_id", "cast(id % 7 AS string) AS session", "id * 1000 AS started",
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        sent = reports._parts(rows, "int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    kinds = {k: [r for r in sent if r.kind == k] for k in range(4)}
+    assert [len(kinds[k]) for k in range(4)] == [6, 2, 7, 1]
+    assert all(r.n == 5000 and r.bytes == 300_000 for r in kinds[reports.COUNT])
+    assert all(r.window_index == 0 for r in kinds[reports.SESSION]) and kinds[reports.FIRST][0].seq == 0

@@ -1,6 +1,6 @@
 """The interval report on a stream: totals, rates, silent types and silent intervals.
 
-Tasks first reduce the datagrams they read to a few rows per window, so a hot
+Tasks first reduce all datagrams they read to a few rows per window, so a hot
 capture sends its counts and never its packets. A stateful operator keeps, per
 capture, the running totals of every window and type. Whatever changes a
 window, new data or late data, it reports that window and all later ones once
@@ -36,6 +36,8 @@ _ROW = (
 )
 _FACTS = "revision long, first_seq long, started long, floor long, hi long, heard long"
 _NONE = 1 << 62
+# So many rows of parts are held before they are collapsed.
+HELD_ROWS = 1 << 17
 
 
 class IntervalReports(StatefulProcessor):
@@ -61,12 +63,12 @@ class IntervalReports(StatefulProcessor):
         self.sessions = handle.getMapState("sessions", "session string", "first long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows))
         held = self.facts.get() or (0, _NONE, 0, _NONE, -_NONE, -_NONE)
         revision, first_seq, started, floor, hi, heard = held
         packets, received, sessions = defaultdict(int), defaultdict(int), defaultdict(int)
         changed, newest = _NONE, max(hi, heard)
-        for p in parts.itertuples(index=False):
+        # The frames of a capture are never held together, and a size or session is looked up once.
+        for p in (p for part in _collapsing(f.assign(capture_id=0) for f in rows) for p in part.itertuples(index=False)):
             w = p.window_index
             changed = min(changed, w)
             if p.kind == COUNT:
@@ -167,8 +169,41 @@ class IntervalReports(StatefulProcessor):
             yield found
 
 
+def _collapsed(parts: pd.DataFrame) -> pd.DataFrame:
+    """``parts`` with what several say of the same capture and window, size or session in one row."""
+    by_kind = {k: parts[parts["kind"] == k] for k in (COUNT, SIZE, SESSION, FIRST)}
+    groups = {COUNT: ["window_index", "packet_id"], SIZE: ["packet_id", "size"], SESSION: ["session"]}
+    found = []
+    for kind, keys in groups.items():
+        grouped = by_kind[kind].groupby(["capture_id", *keys], as_index=False, sort=False)
+        rows = grouped[["n", "bytes"]].sum() if kind == COUNT else grouped[["window_index"]].min()
+        found.append(rows.assign(kind=kind))
+    first = by_kind[FIRST].reset_index(drop=True)
+    found.append(first.loc[first.groupby("capture_id")["seq"].idxmin()])
+    out = pd.concat([f for f in found if len(f)]).reindex(columns=parts.columns)
+    numbers = [c for c in out.columns if c not in ("capture_id", "session")]
+    out[numbers] = out[numbers].fillna(0).astype("int64")
+    return out.reset_index(drop=True)
+
+
+def _collapsing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The collapsed rows of all frames, held together only until they are ``HELD_ROWS``."""
+    held, n, floor = [], 0, 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n > floor + HELD_ROWS:
+            held = [_collapsed(pd.concat(held, ignore_index=True))]
+            n = floor = len(held[0])
+            if n > HELD_ROWS:  # distinct, so that holding them on saves little
+                yield held[0]
+                held, n, floor = [], 0, 0
+    if n:
+        yield _collapsed(pd.concat(held, ignore_index=True))
+
+
 def _parts(rows: DataFrame, capture_id: str) -> DataFrame:
-    """What each batch of rows adds, a few rows per capture and window."""
+    """What the rows of a task add, a few rows per capture and window."""
     names = ["capture_id", *[c.split()[0] for c in _PART.split(", ")]]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +224,10 @@ def _parts(rows: DataFrame, capture_id: str) -> DataFrame:
             out[numbers] = out[numbers].fillna(0).astype("int64")
             yield out
 
-    return rows.mapInPandas(reduce, f"capture_id {capture_id}, {_PART}")
+    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _collapsing(reduce(batches))
+
+    return rows.mapInPandas(of_task, f"capture_id {capture_id}, {_PART}")
 
 
 def stream_interval_report(
