@@ -70,6 +70,8 @@ FEW_BITS = 10
 FEW_WINDOWS_BITS = 3
 RANGE_BYTES = 20_000
 FILES_AT_ONCE = 16
+# A batch costs the same however little it reads, so a long landing takes more files at once.
+MOST_BATCHES = 16
 
 RAW_COLUMNS = ["capture_id", "seq", "recv_mono", "payload"]
 DECODED = ["capture_id", "seq", "recv_mono", "size", *HEADER_FIELDS, "event_code"]
@@ -105,9 +107,15 @@ def _capture_split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payload_facts(read_split_captures(files, RANGE_BYTES))
 
 
+def _files_at_once(spark: SparkSession, landing: str) -> int:
+    """Files of a micro-batch, so that all files land in at most ``MOST_BATCHES``."""
+    return max(FILES_AT_ONCE, -(-capture_files(spark, landing, "int").count() // MOST_BATCHES))
+
+
 def _few_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = _exported(spark, sf_dir, "landing", FEW_BITS)
-    return stream_captures(spark, landing, "int", FILES_AT_ONCE, headers_only=True)
+    files = _files_at_once(spark, landing)
+    return stream_captures(spark, landing, "int", files, headers_only=True)
 
 
 def _wire_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -286,10 +294,10 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_complete(stream_sessions(_live_packets(spark, sf_dir)), "stream-sessions")
 
 
-def _reported(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+def _reported(spark: SparkSession, sf_dir: str, few: bool = False) -> DataFrame:
     """The report of a stream: whole logs at once, or short segments, a few at a time."""
-    landing = _exported(spark, sf_dir, "landing", FEW_BITS if files else SEGMENT_BITS)
-    live = stream_captures(spark, landing, "int", *([files] if files else []))
+    landing = _exported(spark, sf_dir, "landing", FEW_BITS if few else SEGMENT_BITS)
+    live = stream_captures(spark, landing, "int", *([_files_at_once(spark, landing)] if few else []))
     live = with_recv_ts(live, capture_manifest(spark, sf_dir))
     written = run_appending(stream_interval_report(live, WINDOW_SECONDS), "stream-report")
     return _shown_windows(latest_reports(written))
@@ -300,7 +308,7 @@ def _stream_interval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_interval_report_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reported(spark, sf_dir, FILES_AT_ONCE)
+    return _reported(spark, sf_dir, few=True)
 
 
 def _copy_part(files: DataFrame, source: str, target: str, share: float) -> int:
