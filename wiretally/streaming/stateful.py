@@ -5,7 +5,9 @@ streams. A segment's rows reach a task in order, so most comparisons settle
 right there, next to the scan. Only the first and last packet of each run of
 rows a task saw, one row per batch and key, go to a stateful operator that
 links them in arrival order. A hot capture therefore never sends its packets
-to one task, just its edges.
+to one task, just its edges. Hits that are settled pass the operator in
+``LANES`` groups a key, by segment: a group for every segment would cost more
+than its rows.
 
 Rows must come in order within a segment, as ``stream_captures`` delivers
 them; after a shuffle, or from files that lost that order, pass
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from wiretally.operators.sequence import event_packets
 from wiretally.session import ROCKSDB_PROVIDER, STATE_STORE
 
 EDGE_LANE = -1
+LANES = 64
 
 
 class LinkEdges(StatefulProcessor):
@@ -81,6 +85,12 @@ class LinkEdges(StatefulProcessor):
         pass
 
 
+def lane_of(segment: pd.Series) -> np.ndarray:
+    """The lane of each segment's settled hits."""
+    mixed = pd.util.hash_array(segment.to_numpy(np.int64))
+    return (mixed % np.uint64(LANES)).astype(np.int64)
+
+
 def edge_runs(
     rows: DataFrame, keys: list[str], extra: list[str], drops_only: bool, in_order: bool
 ) -> tuple[DataFrame, str]:
@@ -111,7 +121,7 @@ def edge_runs(
             )
             hit = same & differs
             settled = batch[hit].assign(
-                lane=batch.loc[hit, "segment"], prev=prev[hit], tail_seq=0, tail_value=0
+                lane=lane_of(batch.loc[hit, "segment"]), prev=prev[hit], tail_seq=0, tail_value=0
             )
             yield pd.concat([heads, settled]).drop(columns="segment")
 
