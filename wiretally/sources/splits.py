@@ -18,8 +18,8 @@ out where, exactly:
 
 The joins are by a number of the file and offset, so the ranges of one file
 spread over all tasks, and nothing about a file meets in one place. They never
-broadcast: the steps lie on disk at a fiftieth of what they take in memory, so
-that Spark would send tables to the driver that do not fit it.
+broadcast: the steps lie on disk packed far smaller than in memory, so that
+Spark would send tables to the driver that may not fit it.
 
 Files are opened through ``pyarrow.fs``, on whatever shared storage it knows.
 """
