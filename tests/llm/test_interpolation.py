@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,36 @@ def test_edge_rows(spark):
     none = lm.scored(docs, F.lit(0)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and math.isfinite(r.score) for r in none)
     assert lm.scored(docs.limit(0), F.lit(1)).count() == 0
+
+
+def test_a_task_holds_few_arrays_of_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 1 << 12, raising=False)
+    picked = np.random.default_rng(1).zipf(1.3, 600_000) % 200_000
+    rows = [(k, " ".join(f"w{i}" for i in part), k % 3) for k, part in enumerate(np.split(picked, 600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, role int").coalesce(1)
+    chunk = lm.encoded(docs, F.col("role"), "doc_id", "text").toArrow().combine_chunks()
+    n = chunk.column("n_tokens")[0].as_py()
+    assert chunk.num_rows == 1 and n == 600_600
+    peaks = {}
+
+    def peak(step, made):
+        tracemalloc.start()
+        try:
+            return made()
+        finally:
+            peaks[step] = tracemalloc.get_traced_memory()[1] / n
+            tracemalloc.stop()
+
+    parts = 2
+    batches = chunk.select(lm._CHUNK_COLUMNS).to_batches()
+    asked = peak("requests", lambda: pa.Table.from_batches(list(lm._requests(parts)(iter(batches)))))
+    given = [lm._served(parts)(asked.filter(pc.field("part") == p)) for p in range(2 * parts)]
+    replies = pa.concat_tables(given)
+    replies = replies.filter(pc.field("chunk") != lm._STATS)
+    answered = peak("answers", lambda: lm._answered_rows(200_200, 200)(replies, chunk))
+    corpus = lm.Corpus((400_400, 200_200), (200_000, 200_000), (400, 200))
+    weights = np.full((48, 3), 1 / 3)
+    one = answered.to_batches()
+    scores = peak("scores", lambda: pa.Table.from_batches(list(lm._scores(corpus, weights)(iter(one)))))
+    assert scores.num_rows == 600
+    assert max(peaks.values()) < 50, peaks  # bytes a token

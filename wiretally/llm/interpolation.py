@@ -9,6 +9,9 @@ Texts are encoded once into chunks of word numbers. Each chunk asks for the
 corpus counts of its distinct words and pairs, sorted 64-bit keys dealt by
 range, and gets them back as arrays. A key is asked for once per chunk at most,
 so that no word or pair, however frequent, weighs on one task.
+
+A task holds one chunk at a time, and few arrays of its length: what is worked
+out per pair goes through blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from wiretally.llm.tokens import mix, sliced_words, utf8
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 16 << 20
+#: Pairs of a chunk that are worked on at once.
+BLOCK = 1 << 17
 #: Roles of a document: only scored, counted, and held out from the counts to learn the weights.
 SCORED, COUNTED, HELD = 0, 1, 2
 #: Parts of the key range for each shuffle partition.
@@ -67,6 +72,32 @@ def unpacked_keys(data: bytes, n: int, least: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64) + np.uint64(least)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct values, and where among them each value is."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    found = ordered[first]
+    del ordered
+    place = np.cumsum(first, dtype=np.int32)
+    place -= 1
+    index = np.empty(len(values), np.int32)
+    index[order] = place
+    return found, index
+
+
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(lo, min(lo + BLOCK, n)) for lo in range(0, n, BLOCK))
+
+
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other; a whole batch of chunks is never made into Python objects."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Chunk(NamedTuple):
     """Word numbers of consecutive documents, each ended by the end token."""
 
@@ -78,22 +109,29 @@ class Chunk(NamedTuple):
     def token_roles(self) -> np.ndarray:
         return np.repeat(self.roles, self.lengths)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) codes, the code's index per token, and their keys.
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (context, word) codes, and the code's index per token.
 
         The context of a first word is the start, numbered after the vocabulary.
         """
         n = len(self.vocabulary)
-        context = np.empty(len(self.words), np.int64)
-        context[1:] = self.words[:-1]
-        context[np.cumsum(self.lengths) - self.lengths] = n
-        codes, index = np.unique(context * (n + 1) + self.words, return_inverse=True)
+        code = np.empty(len(self.words), np.int64)
+        code[1:] = self.words[:-1]
+        code[np.cumsum(self.lengths) - self.lengths] = n
+        code *= n + 1
+        code += self.words
+        return distinct(code)
+
+    def pair_keys(self, codes: np.ndarray) -> np.ndarray:
+        n = len(self.vocabulary)
         hashes = np.concatenate([self.vocabulary, [_START]])
-        keys = mix(
-            hashes[codes // (n + 1)] * np.uint64(0x9FB21C651E98DF25)
-            + hashes[codes % (n + 1)] * np.uint64(0xD6E8FEB86659FD93)
-        )
-        return codes, index, keys
+        keys = np.empty(len(codes), np.uint64)
+        for at in blocks(len(codes)):
+            context, word = np.divmod(codes[at], n + 1)
+            keys[at] = mix(
+                hashes[context] * np.uint64(0x9FB21C651E98DF25) + hashes[word] * np.uint64(0xD6E8FEB86659FD93)
+            )
+        return keys
 
 
 _ENCODED = "chunk long, n_words int, n_tokens int, vocabulary binary, words binary, lengths binary, roles binary"
@@ -122,8 +160,8 @@ def encoded(docs: DataFrame, role: Column, id_col: str, text_col: str) -> DataFr
             end[np.cumsum(lengths) - 1] = True
             word[end] = _END
             word[~end] = np.concatenate(hashes)
-            vocabulary, index, times = np.unique(word, return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")  # small numbers for frequent words
+            vocabulary, index = distinct(word)
+            order = np.argsort(-np.bincount(index), kind="stable")  # small numbers for frequent words
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             own = pa.concat_arrays(ids)
@@ -182,37 +220,42 @@ def _requests(parts: int):
     """Keys of each chunk by part, with its own counts of all and of not held-out training tokens."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
+    def asked(chunk: int, first: int, keys: np.ndarray, at: np.ndarray, role: np.ndarray) -> Iterator[tuple]:
+        counted = np.bincount(at[role != SCORED], minlength=len(keys))
+        kept = np.bincount(at[role == COUNTED], minlength=len(keys))
+        order = np.argsort(keys)
+        keys = keys[order]
+        lows = np.arange(1, parts, dtype=np.uint64) << shift if parts > 1 else []
+        cuts = [0, *np.searchsorted(keys, lows).tolist(), len(keys)]
+        for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                pick = order[lo:hi]
+                yield (
+                    chunk, first + p, hi - lo, packed_keys(keys[lo:hi], _least(p, parts)),
+                    packed(counted[pick]), packed(kept[pick]),
+                )
+
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = _chunk(row)
-                role = own.token_roles()
-                _, index, pair_keys = own.pairs()
-                out: list[tuple] = []
-                for first, keys, at in ((0, own.vocabulary, own.words), (parts, pair_keys, index)):
-                    counted = np.bincount(at[role != SCORED], minlength=len(keys))
-                    kept = np.bincount(at[role == COUNTED], minlength=len(keys))
-                    order = np.argsort(keys)
-                    ordered = keys[order]
-                    part = (ordered >> shift).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
-                    cuts = np.searchsorted(part, np.arange(parts + 1))
-                    for p in np.unique(part).tolist():
-                        pick = order[cuts[p] : cuts[p + 1]]
-                        out.append((
-                            row["chunk"], first + p, len(pick), packed_keys(keys[pick], _least(p, parts)),
-                            packed(counted[pick]), packed(kept[pick]),
-                        ))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(x, t)
-                        for x, t in zip(
-                            zip(*out, strict=True),
-                            (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()),
-                            strict=True,
-                        )
-                    ],
-                    names=["chunk", "part", "n", "keys", "counted", "kept"],
-                )
+        for row in single_rows(batches):
+            own = _chunk(row)
+            role = own.token_roles()
+            out = [*asked(row["chunk"], 0, own.vocabulary, own.words, role)]
+            codes, index = own.pairs()
+            keys = own.pair_keys(codes)
+            del codes
+            out += asked(row["chunk"], parts, keys, index, role)
+            del keys, index
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x, t)
+                    for x, t in zip(
+                        zip(*out, strict=True),
+                        (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()),
+                        strict=True,
+                    )
+                ],
+                names=["chunk", "part", "n", "keys", "counted", "kept"],
+            )
 
     return of_batches
 
@@ -222,20 +265,20 @@ def _served(parts: int):
 
     def of_part(table: pa.Table) -> pa.Table:
         size = table.column("n").to_pylist()
-        read = lambda c: np.concatenate(
-            [unpacked(b, n, np.int64) for b, n in zip(table.column(c).to_pylist(), size, strict=True)]
-        )
         least = _least(table.column("part")[0].as_py(), parts)
-        stored = zip(table.column("keys").to_pylist(), size, strict=True)
-        keys = np.concatenate([unpacked_keys(b, n, least) for b, n in stored])
-        _, index = np.unique(keys, return_inverse=True)
-        sums = [np.zeros(int(index.max()) + 1, np.int64) for _ in range(2)]
-        for total, name in zip(sums, ("counted", "kept"), strict=True):
-            np.add.at(total, index, read(name))
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        back = [
-            [packed(total[index[i:j]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)] for total in sums
-        ]
+        bounds = [0, *np.cumsum(size).tolist()]
+        keys = np.empty(bounds[-1], np.uint64)
+        for data, lo, hi in zip(table.column("keys"), bounds[:-1], bounds[1:], strict=True):
+            keys[lo:hi] = unpacked_keys(data.as_py(), hi - lo, least)
+        found, index = distinct(keys)
+        del keys
+        sums, back = [], []
+        for name in ("counted", "kept"):
+            total = np.zeros(len(found), np.int64)
+            for data, lo, hi in zip(table.column(name), bounds[:-1], bounds[1:], strict=True):
+                np.add.at(total, index[lo:hi], unpacked(data.as_py(), hi - lo, np.int64))
+            sums.append(total)
+            back.append([packed(total[index[lo:hi]]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
         part = table.column("part")[0].as_py()
         chunks = table.column("chunk").to_pylist()
         if part < parts:
@@ -275,34 +318,42 @@ def _answered_rows(kept_tokens: int, kept_docs: int):
     def of_chunk(replies: pa.Table, chunks: pa.Table) -> pa.Table:
         order = np.argsort(replies.column("part").to_numpy(), kind="stable")
         replies = replies.take(pa.array(order))
-        size = replies.column("n").to_pylist()
-        flat = {
-            name: np.concatenate(
-                [unpacked(b, n, np.int64) for b, n in zip(replies.column(name).to_pylist(), size, strict=True)]
-            )
-            for name in ("counted", "kept")
-        }
         if not chunks.num_rows:  # the totals' own group
-            types = [int(flat[c].sum()) for c in ("counted", "kept")]
+            types = [
+                sum(int(unpacked(b.as_py(), 1, np.int64)[0]) for b in replies.column(c)) for c in ("counted", "kept")
+            ]
             made = {"chunk": pa.array([_STATS]), "types": pa.array([types])}
             for name in _ANSWERED_COLUMNS[1:-1]:
                 made[name] = pa.nulls(1, pa.int32() if name.startswith("n_") else pa.binary())
             made["ids"] = pa.nulls(1, chunks.schema.field("ids").type)
             return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
         own = _chunk(chunks.drop_columns(["ids"]).to_pylist()[0])
-        codes, index, keys = own.pairs()
+        codes, index = own.pairs()
+        times = np.bincount(index[own.token_roles() == HELD], minlength=len(codes))
+        del index
         n = len(own.vocabulary)
-        by_word, by_pair = np.argsort(own.vocabulary), np.argsort(keys)
-        words, pairs = {}, {}
-        for name, counts in flat.items():
-            words[name], pairs[name] = np.empty(n, np.int64), np.empty(len(keys), np.int64)
-            words[name][by_word] = counts[:n]
-            pairs[name][by_pair] = counts[n:]
-        cells, times = _tally(own, codes, index, words["kept"], pairs["kept"], kept_tokens, kept_docs)
+        order = [np.argsort(own.vocabulary), np.argsort(own.pair_keys(codes))]
+
+        def counts(name: str) -> tuple[np.ndarray, np.ndarray]:
+            """Of the words and of the pairs; replies come in order of their keys."""
+            found = np.empty(n, np.int64), np.empty(len(codes), np.int64)
+            done = 0
+            for data, size in zip(replies.column(name), replies.column("n").to_pylist(), strict=True):
+                kind = int(done >= n)
+                lo = done - kind * n
+                found[kind][order[kind][lo : lo + size]] = unpacked(data.as_py(), size, np.int64)
+                done += size
+            return found
+
+        words, pairs = counts("kept")
+        held = np.flatnonzero(times)
+        cells, times = _tally(own, codes[held], times[held], words, pairs[held], kept_tokens, kept_docs)
+        del words, pairs, held
+        words, pairs = counts("counted")
         made = {c: chunks.column(c) for c in ("chunk", "n_words", "n_tokens", "words", "lengths", "roles", "ids")}
-        made |= {"n_pairs": pa.array([len(keys)], pa.int32()), "n_cells": pa.array([len(cells)], pa.int32())}
+        made |= {"n_pairs": pa.array([len(codes)], pa.int32()), "n_cells": pa.array([len(cells)], pa.int32())}
         made["types"] = pa.nulls(1, pa.list_(pa.int64()))
-        stored = {"counted_words": words["counted"], "counted_pairs": pairs["counted"], "cells": cells, "times": times}
+        stored = {"counted_words": words, "counted_pairs": pairs, "cells": cells, "times": times}
         made |= {name: pa.array([packed(values)], pa.binary()) for name, values in stored.items()}
         return pa.table({c: made[c] for c in [*_ANSWERED_COLUMNS, "ids"]})
 
@@ -342,21 +393,21 @@ def _level(p: np.ndarray) -> np.ndarray:
 
 
 def _tally(
-    own: Chunk, codes: np.ndarray, index: np.ndarray, words: np.ndarray, pairs: np.ndarray, tokens: int, docs: int
+    own: Chunk, codes: np.ndarray, times: np.ndarray, words: np.ndarray, pairs: np.ndarray, tokens: int, docs: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Held-out pairs by context bucket and by level of both estimates, and how many."""
-    bucket, two, one = _estimates(own, codes, words, pairs, tokens, docs)
-    times = np.bincount(index[own.token_roles() == HELD], minlength=len(codes))
-    cell = (bucket << 32) | (_level(two) << 16) | _level(one)
-    cells, place = np.unique(cell[times > 0], return_inverse=True)
-    return cells, np.bincount(place, times[times > 0], minlength=len(cells)).astype(np.int64)
+    cell = np.empty(len(codes), np.int64)
+    for at in blocks(len(codes)):
+        bucket, two, one = _estimates(own, codes[at], words, pairs[at], tokens, docs)
+        cell[at] = (bucket << 32) | (_level(two) << 16) | _level(one)
+    cells, place = distinct(cell)
+    return cells, np.bincount(place, times, minlength=len(cells)).astype(np.int64)
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            found = [unpacked(row[c], row["n_cells"], np.int64) for c in ("cells", "times")]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["cell", "times"])
+    for row in single_rows(batches):
+        found = [unpacked(row[c], row["n_cells"], np.int64) for c in ("cells", "times")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["cell", "times"])
 
 
 def learned_weights(cell: np.ndarray, times: np.ndarray, types: int) -> np.ndarray:
@@ -396,23 +447,26 @@ def _scores(corpus: Corpus, weights: np.ndarray):
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+            for k, row in enumerate(single_rows(iter([batch.drop_columns(["ids"])]))):
                 own, words, pairs = _answered_chunk(row)
-                codes, index, _ = own.pairs()
-                bucket, two, one = _estimates(own, codes, words, pairs, corpus.tokens[0], corpus.docs[0])
-                w = weights[bucket]
-                mixed = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (corpus.types[0] + 1)
+                codes, index = own.pairs()
+                model = np.empty(len(codes))
+                for at in blocks(len(codes)):
+                    bucket, two, one = _estimates(own, codes[at], words, pairs[at], corpus.tokens[0], corpus.docs[0])
+                    w = weights[bucket]
+                    model[at] = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (corpus.types[0] + 1))
+                del codes, pairs
                 starts = np.cumsum(own.lengths) - own.lengths
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                base = np.log10((words + 0.5) / base_of)[own.words]
+                base = np.log10((words + 0.5) / base_of)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("ids")[k].values,
                         pa.array(own.roles.astype(np.int32)),
                         pa.array(own.lengths.astype(np.int64)),
                         pa.array(sums((words > 0)[own.words].astype(np.int64))),
-                        pa.array(sums(base)),
-                        pa.array(sums(np.log10(mixed)[index])),
+                        pa.array(sums(base[own.words])),
+                        pa.array(sums(model[index])),
                     ],
                     names=["id", "role", "n_tokens", "n_known", "base_score", "score"],
                 )
@@ -443,13 +497,12 @@ def scored(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str
     schema = f"{_ANSWERED}, ids array<{kind.simpleString()}>"
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                roles = np.frombuffer(row["roles"], np.int8)
-                lengths = unpacked(row["lengths"], len(roles), np.int32)
-                for k in (COUNTED, HELD):
-                    one = [[k], [int((roles == k).sum())], [int(lengths[roles == k].sum())]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in one], names=["role", "docs", "tokens"])
+        for row in single_rows(batches):
+            roles = np.frombuffer(row["roles"], np.int8)
+            lengths = unpacked(row["lengths"], len(roles), np.int32)
+            for k in (COUNTED, HELD):
+                one = [[k], [int((roles == k).sum())], [int(lengths[roles == k].sum())]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in one], names=["role", "docs", "tokens"])
 
     found = chunks.select("roles", "lengths").mapInArrow(sizes, "role long, docs long, tokens long")
     found = {r["role"]: r for r in found.groupBy("role").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
