@@ -13,6 +13,7 @@ from wire import log, random_capture
 from wiretally.operators import rates, sequence, stats
 from wiretally.sources.anchors import with_recv_ts
 from wiretally.operators.headers import decode_headers
+from wiretally.session import LISTING_TASKS
 from wiretally.sources.archive import read_archive, stream_archive, write_archive
 from wiretally.sources.captures import read_captures, read_packets
 from wiretally.streaming.aggregates import (
@@ -208,6 +209,27 @@ def test_sessions_with_expiry_agree_while_captures_are_short(spark, live, batch,
     same(found, stats.capture_sessions(batch))
 
 
+def test_files_of_a_batch_are_not_listed_by_a_task_each(spark, tmp_path):
+    made = [d for d in random_capture(random.Random(5), 40 * SEGMENT + 200) if d]
+    for first in range(0, 40 * SEGMENT, SEGMENT):
+        land(tmp_path / "landing", 1, made, first, 1_700_000_000 + first)
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(LISTING_TASKS)
+
+    def newest_stage() -> int:
+        spark.sparkContext.setJobGroup("mark", "mark")
+        spark.sparkContext.parallelize([1], 1).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return max(tracker.getJobInfo(max(tracker.getJobIdsForGroup("mark"))).stageIds)
+
+    first = newest_stage()
+    live = stream_captures(spark, str(tmp_path / "landing"), "int", headers_only=True)
+    found = run_appending(stream_reversals(live), "t", str(tmp_path / "rev"))
+    stages = [tracker.getStageInfo(k) for k in range(first + 1, newest_stage())]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism < 40
+    assert spark.conf.get(LISTING_TASKS) == before
+    same(found.drop("out_of_order"), sequence.reversals(read_packets(spark, str(tmp_path / "landing"), "int")))
+
+
 def test_stateful_streams_ask_for_their_state_store(spark, landing):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)

@@ -14,6 +14,7 @@ ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def build_session(app: str = "wiretally", master: str | None = None, **conf: str) -> SparkSession:
@@ -82,6 +83,21 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+@contextmanager
+def short_listings(spark: SparkSession) -> Iterator[None]:
+    """Streams that run within look up a micro-batch's files in a few tasks a core.
+
+    Spark otherwise runs a task for every file, up to 10,000, once a micro-batch
+    and once more at a restart; each takes longer to schedule than to run.
+    """
+    before = spark.conf.get(LISTING_TASKS)
+    spark.conf.set(LISTING_TASKS, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING_TASKS, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, for what several steps need."""
     path = f"{scratch_dir(df.sparkSession, label)}/table"

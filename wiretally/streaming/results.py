@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
-from wiretally.session import scratch_dir
+from wiretally.session import scratch_dir, short_listings
 from wiretally.sources.files import resolve
 
 
@@ -13,14 +13,14 @@ def run_appending(stream: DataFrame, label: str, path: str | None = None) -> Dat
     """Append a stream's rows to Parquet, exactly once, then read them."""
     spark = stream.sparkSession
     root = path or scratch_dir(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{root}/rows")
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with short_listings(spark):
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
@@ -55,14 +55,14 @@ def run_complete(stream: DataFrame, label: str, path: str | None = None) -> Data
             if number != old.base_name and int(number) < batch_id:
                 store.delete_dir(old.path)
 
-    query = (
+    writer = (
         stream.writeStream.outputMode("complete")
         .foreachBatch(keep)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with short_listings(spark):
+        writer.start().awaitTermination()
     newest = newest_batch(root)
     if newest is None:
         return spark.createDataFrame([], stream.schema)
